@@ -49,10 +49,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     columns of ``docs`` are left out, so none can clash.
     """
     lines, hot = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs)
-    found = lines.join(hot, ["h1", "h2"]).filter(F.col("doc_id") != F.col("last_doc"))
+    found = lines.join(hot.hint("merge"), ["h1", "h2"]).filter(F.col("doc_id") != F.col("last_doc"))
     places = materialise(found.groupBy("doc_id").agg(F.collect_list("pos").alias("places")), "line-drops")
     split = docs.select("doc_id", lines_of(F.col("text")).alias("lines"))
-    joined = split.join(places, "doc_id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    joined = split.join(places.hint("merge"), "doc_id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
     # array_except keeps a hash set, so this is linear in the lines; none of the places repeats
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
     kept = F.when(F.size("places") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda p: F.get(F.col("lines"), p)), "\n"))
