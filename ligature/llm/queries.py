@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, line_dedup, mixing, quality_rules
+from . import bpe, exact_dedup, html_extract, language_id, line_dedup, mixing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,6 +39,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op4_byte_bpe, op5_html_extraction, op6_line_dedup, op7_exact_dedup, op8_quality_rules)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op3_language_id, op4_byte_bpe, op5_html_extraction, op6_line_dedup, op7_exact_dedup, op8_quality_rules, op9_quality_classifier)}
 
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
