@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules
+from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mixing, op3_language_id, op4_byte_bpe, op5_html_extraction, op6_line_dedup, op7_exact_dedup, op8_quality_rules, op9_quality_classifier)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mixing, op3_language_id, op4_byte_bpe, op5_html_extraction, op6_line_dedup, op7_exact_dedup, op8_quality_rules, op9_quality_classifier, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
