@@ -1 +1,6 @@
+"""All queries on the driver's tables, by name."""
 
+from . import molecules
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "molecules"]
