@@ -38,16 +38,19 @@ def parse_types_line(line: Column, layout: str = "reference") -> Column:
     like a file; else, and with four fields, the second is the affinity. ``checked`` also asks that the third of
     a short line of five fields or more isn't a number.
     """
-    parts = F.split(F.trim(line), r"\s+")
-    get = lambda i: F.try_element_at(parts, F.lit(i))
-    n = F.size(parts)
-    file_like = get(4).contains("/") | get(4).endswith(".gninatypes")
-    if layout == "checked":
-        file_like = file_like & get(3).try_cast("double").isNull()
-    short = (n == 4) | ((n >= 5) & file_like)
-    affinity = F.when(short, get(2)).otherwise(get(3)).try_cast("double")
-    skip = (F.trim(line) == "") | F.trim(line).startswith("#") | (n < 4) | affinity.isNull()
-    return F.when(~skip, F.struct(affinity.alias("affinity"), F.when(short, get(3)).otherwise(get(4)).alias("receptor"), F.when(short, get(4)).otherwise(get(5)).alias("ligand")))
+    def read(parts: Column) -> Column:
+        get = lambda i: F.try_element_at(parts, F.lit(i))
+        n = F.size(parts)
+        file_like = get(4).contains("/") | get(4).endswith(".gninatypes")
+        if layout == "checked":
+            file_like = file_like & get(3).try_cast("double").isNull()
+        short = (n == 4) | ((n >= 5) & file_like)
+        affinity = F.when(short, get(2)).otherwise(get(3)).try_cast("double")
+        skip = (get(1) == "") | get(1).startswith("#") | (n < 4) | affinity.isNull()
+        return F.when(~skip, F.struct(affinity.alias("affinity"), F.when(short, get(3)).otherwise(get(4)).alias("receptor"), F.when(short, get(4)).otherwise(get(5)).alias("ligand")))
+
+    # through an array of one, so that the line is split once
+    return F.element_at(F.transform(F.array(F.split(F.trim(line), r"\s+")), read), 1)
 
 
 def types_log(lines: DataFrame, layout: str = "reference") -> DataFrame:
@@ -94,18 +97,23 @@ def affinity_table(log: DataFrame, order: list[str]) -> DataFrame:
 
 def candidate_keys(protein: Column, ligand: Column) -> Column:
     """Key forms in the order in which they are tried."""
-    p, q = path_stem(protein), path_stem(ligand)
     pair = lambda a, b: F.struct(a.alias("rec_key"), b.alias("lig_key"))
     swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
-    return F.array(
-        pair(protein, ligand),
-        pair(path_name(protein), path_name(ligand)),
-        pair(p, q),
-        pair(F.concat(p, F.lit(".pdb")), F.concat(q, F.lit(".pdb"))),
-        pair(F.concat(p, F.lit(".gninatypes")), F.concat(q, F.lit(".gninatypes"))),
-        pair(swap(p, "_rec", "_rec_"), swap(q, "_lig", "_lig_")),
-        pair(swap(protein, "crossdocked/", ""), swap(ligand, "crossdocked/", "")),
-    )
+
+    def forms(x: Column) -> Column:
+        p, q = x["p_stem"], x["q_stem"]
+        return F.array(
+            pair(x["p"], x["q"]),
+            pair(x["p_name"], x["q_name"]),
+            pair(p, q),
+            pair(F.concat(p, F.lit(".pdb")), F.concat(q, F.lit(".pdb"))),
+            pair(F.concat(p, F.lit(".gninatypes")), F.concat(q, F.lit(".gninatypes"))),
+            pair(swap(p, "_rec", "_rec_"), swap(q, "_lig", "_lig_")),
+            pair(swap(x["p"], "crossdocked/", ""), swap(x["q"], "crossdocked/", "")),
+        )
+
+    names = F.struct(protein.alias("p"), ligand.alias("q"), path_name(protein).alias("p_name"), path_name(ligand).alias("q_name"), path_stem(protein).alias("p_stem"), path_stem(ligand).alias("q_stem"))
+    return F.element_at(F.transform(F.array(names), forms), 1)  # names and stems are read once
 
 
 def lookup_affinity(pairs: DataFrame, table: DataFrame) -> DataFrame:

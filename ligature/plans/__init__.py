@@ -1,6 +1,6 @@
 """All queries on the driver's tables, by name."""
 
-from . import molecules
+from . import measures, molecules, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "molecules"]
+__all__ = ["ORACLES", "QUERIES", "measures", "molecules", "tables"]
