@@ -3,7 +3,7 @@
 A piece (one match of the split pattern) is encoded by halves. Two encoded neighbours are joined by encoding
 again only a window of tokens around the seam. In BPE a token sequence is the encoding of its bytes exactly if
 every pair of adjacent tokens is the encoding of that pair's bytes; so once the pairs at both edges of the
-window hold, the tokens outside it cannot change, and the join is exact. If they don't, the window doubles.
+window hold, the tokens outside it cannot change, and the join is exact. If they don't, the window doubles on that side.
 Decoding concatenates halves up the tree. Equal pieces are encoded once a task.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 #: Pieces of up to LEAF bytes are merged directly; a join starts with EDGE tokens on each side of the seam.
-LEAF, EDGE, LEAF_TOKENS = 24, 4, 4096
+LEAF, EDGE, LEAF_TOKENS, DIRECT = 24, 4, 4096, 192
 #: Bounds of a task's memory of pieces; what doesn't fit is encoded anew each time.
 MOST_PIECES, MOST_PIECE_BYTES, MOST_PAIRS = 600_000, 64, 200_000
 NEVER = 1 << 60
@@ -44,6 +45,8 @@ class Codec:
         ranks = self.ranks
         if (whole := ranks.get(data)) is not None:
             return [whole]
+        if len(data) > DIRECT:
+            return self.merge_long(data)
         bounds = list(range(len(data) + 1))
         costs = [ranks.get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
         while costs and (least := min(costs)) != NEVER:
@@ -55,6 +58,32 @@ class Codec:
                 costs[at - 1] = ranks.get(data[bounds[at - 1] : bounds[at + 1]], NEVER)
         return [ranks[data[i:j]] for i, j in zip(bounds, bounds[1:])]
 
+    def merge_long(self, data: bytes) -> list[int]:
+        """The same merges from a heap of neighbours: n log n steps for long runs that no window cuts short."""
+        ranks, n = self.ranks, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at a place
+        alive = [True] * n
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+
+        def offer(i: int) -> None:
+            j = end[i]
+            if j < n and (rank := ranks.get(data[i : end[j]])) is not None:
+                heappush(heap, (rank, i, end[j]))
+
+        while heap:
+            _, i, to = heappop(heap)
+            if not alive[i] or end[i] >= n or end[end[i]] != to:
+                continue  # a part of this pair has grown since
+            alive[end[i]] = False
+            end[i] = to
+            if to < n:
+                before[to] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
+
     def holds(self, a: int, b: int) -> bool:
         """Whether the two tokens are the encoding of their joint bytes."""
         known = self.pairs.get((a, b))
@@ -67,18 +96,21 @@ class Codec:
     def join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right or self.holds(left[-1], right[0]):
             return left + right
-        width, tokens = EDGE, self.tokens
+        tokens = self.tokens
+        i, j = max(0, len(left) - EDGE), min(len(right), EDGE)
         while True:
-            i, j = max(0, len(left) - width), min(len(right), width)
-            window = b"".join([tokens[t] for t in left[i:]] + [tokens[t] for t in right[:j]])
-            middle = self.merge(window) if len(window) <= 8 * LEAF else self.encode_bytes(window, whole=(i, j) == (0, len(right)))
-            if (i == 0 or self.holds(left[i - 1], middle[0])) and (j == len(right) or self.holds(middle[-1], right[j])):
+            middle = self.merge(b"".join([tokens[t] for t in left[i:]] + [tokens[t] for t in right[:j]]))
+            before = i == 0 or self.holds(left[i - 1], middle[0])
+            after = j == len(right) or self.holds(middle[-1], right[j])
+            if before and after:
                 return left[:i] + middle + right[j:]
-            width *= 2
+            if not before:
+                i = max(0, len(left) - 2 * (len(left) - i))
+            if not after:
+                j = min(len(right), 2 * j)
 
-    def encode_bytes(self, data: bytes, whole: bool = False) -> list[int]:
-        """``whole``: of a window that is the whole piece, merged without a tree, so that a join ends in any case."""
-        if len(data) <= LEAF or whole:
+    def encode_bytes(self, data: bytes) -> list[int]:
+        if len(data) <= LEAF:
             return self.merge(data)
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
