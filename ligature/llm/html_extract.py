@@ -99,10 +99,9 @@ class Lines(HTMLParser):
         if tag in SIBLINGS:
             self.close_open(SIBLINGS[tag], STOPS[tag])
         if tag in ("article", "main") and not self.articles and self.out:  # a menu or the like that was never closed
-            for k, (_, out, _) in enumerate(self.open):
-                if out:
-                    self.pop_to(k)
-                    break
+            outer = next(k for k, (_, out, _) in enumerate(self.open) if out)
+            if self.open[outer][0] in ("nav", "menu", "header"):
+                self.pop_to(outer)
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         out = tag in SILENT or tag == "header" and not self.articles
         if not out and names and tag not in ("html", "body", "article", "main"):
@@ -131,10 +130,11 @@ class Lines(HTMLParser):
                 return None
 
     def handle_data(self, data: str) -> None:
-        if not self.out or self.open[-1][0] not in ("script", "style"):
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data.strip())
+        if self.out and any(out and name not in BLOCKS for name, out, _ in self.open):
+            return  # a button in a paragraph, say: the line goes on without it
+        self.parts.append(data)
+        if self.links:
+            self.linked += len(data.strip())
 
 
 def parse(html: str) -> Lines:
