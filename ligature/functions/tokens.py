@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def lookup(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """Tokens in order; a bracket atom is one token, characters that begin no token are skipped."""
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
@@ -118,14 +125,21 @@ CHARGE_PATTERN = r"([+-]+)(\d*)(?::\d+)?\]$"
 
 def elements(text: Column) -> Column:
     """Element of each atom token, aromatic ones capitalised; explicit hydrogens left out."""
-    atoms = F.filter(tokens(text), lambda t: t.rlike(r"^(\[|[A-Za-z])"))
-    raw = F.transform(atoms, lambda t: F.regexp_extract(t, ELEMENT_PATTERN, 1))
+    return _elements(tokens(text))
+
+
+def _elements(toks: Column) -> Column:
+    raw = F.transform(F.filter(toks, lambda t: t.rlike(r"^(\[|[A-Za-z])")), lambda t: F.regexp_extract(t, ELEMENT_PATTERN, 1))
     return F.filter(F.transform(raw, lambda e: F.concat(F.upper(F.substring(e, 1, 1)), F.substring(e, 2, 1))), lambda e: e != "H")
 
 
 def charges(text: Column) -> Column:
     """Formal charge of each bracket atom that has one."""
-    charged = F.filter(tokens(text), lambda t: t.rlike(r"^\[") & t.rlike(CHARGE_PATTERN))
+    return _charges(tokens(text))
+
+
+def _charges(toks: Column) -> Column:
+    charged = F.filter(toks, lambda t: t.rlike(r"^\[") & t.rlike(CHARGE_PATTERN))
 
     def of(t: Column) -> Column:
         sign, digits = F.regexp_extract(t, CHARGE_PATTERN, 1), F.regexp_extract(t, CHARGE_PATTERN, 2)
@@ -137,21 +151,26 @@ def charges(text: Column) -> Column:
 
 def composition(text: Column) -> Column:
     """Counts that need no toolkit: atoms, elements, charge, charged atoms, fragments, ring bonds, bonds, hetero atoms."""
-    elems, chg = elements(text), charges(text)
-    rings = F.size(F.filter(tokens(text), lambda t: t.rlike("^([0-9]|%[0-9]{2})$")))
-    ring_bonds = F.floor(rings / 2).cast("int")
-    fragments = F.size(F.filter(F.split(text, r"\."), lambda x: x != ""))
-    n = F.size(elems)
-    return F.struct(
-        n.alias("atoms"),
-        elems.alias("elements"),
-        F.aggregate(chg, F.lit(0), lambda a, x: a + x).alias("charge"),
-        F.size(F.filter(chg, lambda x: x != 0)).alias("charged_atoms"),
-        fragments.alias("fragments"),
-        ring_bonds.alias("ring_bonds"),
-        (n - fragments + ring_bonds).alias("bonds"),
-        F.size(F.filter(elems, lambda e: e != "C")).alias("hetero_atoms"),
-    )
+
+    def read(toks: Column) -> Column:
+        rings = F.size(F.filter(toks, lambda t: t.rlike("^([0-9]|%[0-9]{2})$")))
+        return F.struct(_elements(toks).alias("elements"), _charges(toks).alias("charges"), F.floor(rings / 2).cast("int").alias("ring_bonds"))
+
+    def count(x: Column) -> Column:
+        fragments = F.size(F.filter(F.split(text, r"\."), lambda f: f != ""))
+        n = F.size(x["elements"])
+        return F.struct(
+            n.alias("atoms"),
+            x["elements"].alias("elements"),
+            F.aggregate(x["charges"], F.lit(0), lambda a, c: a + c).alias("charge"),
+            F.size(F.filter(x["charges"], lambda c: c != 0)).alias("charged_atoms"),
+            fragments.alias("fragments"),
+            x["ring_bonds"].alias("ring_bonds"),
+            (n - fragments + x["ring_bonds"]).alias("bonds"),
+            F.size(F.filter(x["elements"], lambda e: e != "C")).alias("hetero_atoms"),
+        )
+
+    return once(once(tokens(text), read), count)
 
 
 def one_letter(residue: Column, unknown: str | None = "X") -> Column:

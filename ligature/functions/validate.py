@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import once
+
 # Names and texts of the violations.
 DESCRIPTIONS = {
     "empty_or_invalid": "SMILES is empty or not a string",
@@ -48,8 +50,10 @@ def balance(text: Column, opening: str, closing: str) -> Column:
 
 
 def _pairs(text: Column, opening: str, closing: str, close: str, unclosed: str, extra: str, empty: str) -> Column:
-    state = balance(text, opening, closing)
-    return _names((state["low"] < 0, close), (state["last"] > 0, unclosed), (state["last"] < 0, extra), (text.contains(opening + closing), empty))
+    return once(
+        balance(text, opening, closing),
+        lambda state: _names((state["low"] < 0, close), (state["last"] > 0, unclosed), (state["last"] < 0, extra), (text.contains(opening + closing), empty)),
+    )
 
 
 def ring_violations(text: Column, split_digits: bool = False) -> Column:
@@ -57,11 +61,14 @@ def ring_violations(text: Column, split_digits: bool = False) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"%\d\d|\d" if split_digits else r"%?\d+"), F.lit(0))
     digits = F.transform(found, lambda d: F.regexp_replace(d, "^%?0*(?=\\d)", ""))
 
-    def name(d: Column) -> Column:
-        n = F.size(F.filter(digits, lambda x: x == d))
-        return F.when(n == 1, F.concat(F.lit("unclosed_ring_"), d)).when(n > 2, F.concat(F.lit("duplicate_ring_"), d))
+    def names(digits: Column) -> Column:
+        def name(d: Column) -> Column:
+            n = F.size(F.filter(digits, lambda x: x == d))
+            return F.when(n == 1, F.concat(F.lit("unclosed_ring_"), d)).when(n > 2, F.concat(F.lit("duplicate_ring_"), d))
+
+        return F.array_compact(F.transform(F.array_distinct(digits), name))
 
-    return F.array_compact(F.transform(F.array_distinct(digits), name))
+    return once(digits, names)
 
 
 def violations(column: Column, bracket_aware: bool = False) -> Column:

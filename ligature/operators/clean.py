@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import AMINO_ACIDS, composition, elements, tokens
+from ..functions.tokens import AMINO_ACIDS, composition, elements, once, tokens
 from ..functions.validate import violations
 
 # Elements allowed and excluded by the cleaning rules, and metals of the filter's pattern.
@@ -49,23 +49,26 @@ def clean_verdict(column: Column, valid: Column | None = None) -> Column:
     """struct(is_valid, reason): the first rule that fails names the reason. ``valid``: a toolkit's word on whether
     the string parses; without it, a string with unreadable characters doesn't. Elements in reasons are sorted."""
     text = F.trim(column)
-    parts = composition(text)
-    elems = parts["elements"]
-    excluded = F.array_sort(F.array_distinct(F.filter(elems, lambda e: e.isin(EXCLUDED))))
-    other = F.array_sort(F.array_distinct(F.filter(elems, lambda e: ~e.isin(DRUG_LIKE))))
-    reason = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty_or_invalid_type")
-        .when(text.contains(">"), "reaction_smiles")
-        .when(F.length(text) - F.length(F.replace(text, F.lit("."), F.lit(""))) > 2, "too_many_fragments")
-        .when(~(readable(text) if valid is None else F.coalesce(valid, F.lit(False))), "parse_failed")
-        .when(F.size(excluded) > 0, F.concat(F.lit("contains_metals_or_exotic: "), F.array_join(excluded, ",")))
-        .when(F.size(other) > 0, F.concat(F.lit("non_druglike_atoms: "), F.array_join(other, ",")))
-        .when(F.abs(parts["charge"]) > 2, F.concat(F.lit("high_charge: "), parts["charge"].cast("string")))
-        .when(parts["charged_atoms"] > 3, "too_many_charged_atoms")
-        .when(parts["atoms"] < 3, "too_small")
-        .when(parts["atoms"] > 100, "too_large")
-    )
-    return F.struct(reason.isNull().alias("is_valid"), reason.alias("reason"))
+
+    def judge(parts: Column) -> Column:
+        elems = parts["elements"]
+        excluded = F.array_sort(F.array_distinct(F.filter(elems, lambda e: e.isin(EXCLUDED))))
+        other = F.array_sort(F.array_distinct(F.filter(elems, lambda e: ~e.isin(DRUG_LIKE))))
+        reason = (
+            F.when(F.coalesce(text, F.lit("")) == "", "empty_or_invalid_type")
+            .when(text.contains(">"), "reaction_smiles")
+            .when(F.length(text) - F.length(F.replace(text, F.lit("."), F.lit(""))) > 2, "too_many_fragments")
+            .when(~(readable(text) if valid is None else F.coalesce(valid, F.lit(False))), "parse_failed")
+            .when(F.size(excluded) > 0, F.concat(F.lit("contains_metals_or_exotic: "), F.array_join(excluded, ",")))
+            .when(F.size(other) > 0, F.concat(F.lit("non_druglike_atoms: "), F.array_join(other, ",")))
+            .when(F.abs(parts["charge"]) > 2, F.concat(F.lit("high_charge: "), parts["charge"].cast("string")))
+            .when(parts["charged_atoms"] > 3, "too_many_charged_atoms")
+            .when(parts["atoms"] < 3, "too_small")
+            .when(parts["atoms"] > 100, "too_large")
+        )
+        return once(reason, lambda r: F.struct(r.isNull().alias("is_valid"), r.alias("reason")))
+
+    return once(composition(text), judge)
 
 
 def with_clean_verdict(df: DataFrame, column: str = "smiles", valid: str | None = None) -> DataFrame:
@@ -97,23 +100,28 @@ def filter_verdict(column: Column, weight: Column, logp: Column, config: FilterC
     """struct(is_valid, reason, processed) of the drug-like filter; weight, logp and what only a toolkit knows
     (parses, is a radical, can be standardised) come in as columns."""
     text = F.trim(column)
-    part = largest_fragment(text) if config.remove_fragments else text
-    parts = composition(part)
     yes = F.lit(True)
-    reason = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty_molecule")
-        .when(~(readable(text) if valid is None else valid), "invalid_smiles")
-        .when(has_metal(part), "contains_metal")
-        .when(F.lit(False) if radical is None else radical, "radical_structure")
-        .when(~elements_allowed(part, list(config.allowed)), "contains_metal")
-        .when(~(yes if standardised is None else standardised), "standardization_failed")
-        .when((weight < config.min_weight) | (weight > config.max_weight), "molecular_weight_out_of_range")
-        .when(logp >= config.max_logp, "logp_out_of_range")
-        .when(parts["atoms"] > config.max_atoms, "too_many_atoms")
-        .when(F.lit(config.remove_charges) & (parts["charge"] != 0), "charged_structure")
-        .otherwise("valid")
-    )
-    return F.struct((reason == "valid").alias("is_valid"), reason.alias("reason"), F.when(reason == "valid", part).alias("processed"))
+
+    def judge(x: Column) -> Column:
+        part, parts = x["part"], x["parts"]
+        allowed = F.size(F.array_except(parts["elements"], F.array(*map(F.lit, config.allowed)))) == 0
+        reason = (
+            F.when(F.coalesce(text, F.lit("")) == "", "empty_molecule")
+            .when(~(readable(text) if valid is None else valid), "invalid_smiles")
+            .when(has_metal(part), "contains_metal")
+            .when(F.lit(False) if radical is None else radical, "radical_structure")
+            .when(~allowed, "contains_metal")
+            .when(~(yes if standardised is None else standardised), "standardization_failed")
+            .when((weight < config.min_weight) | (weight > config.max_weight), "molecular_weight_out_of_range")
+            .when(logp >= config.max_logp, "logp_out_of_range")
+            .when(parts["atoms"] > config.max_atoms, "too_many_atoms")
+            .when(F.lit(config.remove_charges) & (parts["charge"] != 0), "charged_structure")
+            .otherwise("valid")
+        )
+        return once(reason, lambda r: F.struct((r == "valid").alias("is_valid"), r.alias("reason"), F.when(r == "valid", part).alias("processed")))
+
+    whole = largest_fragment(text) if config.remove_fragments else text
+    return once(once(whole, lambda p: F.struct(p.alias("part"), composition(p).alias("parts"))), judge)
 
 
 def with_filter_verdict(df: DataFrame, config: FilterConfig = FilterConfig(), column: str = "smiles", weight: str = "mw", logp: str = "logp") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import once
+
 
 def path_name(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, "/+$", ""), "([^/]*)$", 1)
@@ -49,8 +51,7 @@ def parse_types_line(line: Column, layout: str = "reference") -> Column:
         skip = (get(1) == "") | get(1).startswith("#") | (n < 4) | affinity.isNull()
         return F.when(~skip, F.struct(affinity.alias("affinity"), F.when(short, get(3)).otherwise(get(4)).alias("receptor"), F.when(short, get(4)).otherwise(get(5)).alias("ligand")))
 
-    # through an array of one, so that the line is split once
-    return F.element_at(F.transform(F.array(F.split(F.trim(line), r"\s+")), read), 1)
+    return once(F.split(F.trim(line), r"\s+"), read)
 
 
 def types_log(lines: DataFrame, layout: str = "reference") -> DataFrame:
@@ -113,7 +114,7 @@ def candidate_keys(protein: Column, ligand: Column) -> Column:
         )
 
     names = F.struct(protein.alias("p"), ligand.alias("q"), path_name(protein).alias("p_name"), path_name(ligand).alias("q_name"), path_stem(protein).alias("p_stem"), path_stem(ligand).alias("q_stem"))
-    return F.element_at(F.transform(F.array(names), forms), 1)  # names and stems are read once
+    return once(names, forms)
 
 
 def lookup_affinity(pairs: DataFrame, table: DataFrame) -> DataFrame:
