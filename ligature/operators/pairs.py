@@ -69,20 +69,19 @@ def pair_by_pocket(files: DataFrame) -> DataFrame:
 def restrict_to_targets(log: DataFrame, pairs: DataFrame) -> DataFrame:
     """Log rows of target pockets (or of none) whose receptor or ligand begins with the stem of any target.
 
-    A stem's length is one of a few, so each name is cut to those lengths and the match is an equi-join.
+    A stem's length is one of a few, so each name is cut to those lengths and the match is an equi-join; a row
+    that matches more than once comes back once.
     """
     targets = pairs.select(path_parent(F.col("receptor")).alias("pocket"), F.explode(F.array(path_stem(F.col("receptor")), path_stem(F.col("ligand")))).alias("stem"))
-    lengths = targets.groupBy(F.length("stem").alias("n")).count()
-    stems = targets.select("stem").distinct()
-    pocket = F.when(F.col("receptor").contains("/"), F.split("receptor", "/")[0])
-    keyed = log.withColumn("_id", F.xxhash64(*log.columns)).withColumn("_pocket", pocket)
-    in_pocket = keyed.join(targets.select(F.col("pocket").alias("_pocket")).distinct(), "_pocket", "left_semi").unionByName(keyed.filter("_pocket is null"))
+    sizes = [r["n"] for r in targets.select(F.length("stem").alias("n")).distinct().collect()]  # a few numbers
+    lengths = F.array(*map(F.lit, sizes)).cast("array<int>")
+    pockets = targets.select("pocket").distinct().unionByName(targets.sparkSession.createDataFrame([(None,)], "pocket string"))
+    marked = log.withColumn("_pocket", F.when(F.col("receptor").contains("/"), F.split("receptor", "/")[0]))
+    near = marked.join(pockets, F.col("_pocket").eqNullSafe(F.col("pocket")), "left_semi").withColumn("_id", F.monotonically_increasing_id())
     names = F.array(*[F.element_at(F.split(affinity_key(F.col(c)), "/"), -1) for c in ("receptor", "ligand")])
-    each = in_pocket.select("_id", F.explode(names).alias("name"))
-    sizes = [r["n"] for r in lengths.collect()]  # a few numbers
-    cuts = each.withColumn("n", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
-    hits = cuts.filter(F.length("name") >= F.col("n")).select("_id", F.expr("substr(name, 1, n)").alias("stem")).join(stems, "stem", "left_semi").select("_id").distinct()
-    return in_pocket.join(hits, "_id", "left_semi").drop("_id", "_pocket")
+    cuts = F.flatten(F.transform(names, lambda x: F.transform(F.filter(lengths, lambda n: n <= F.length(x)), lambda n: F.substr(x, F.lit(1), n))))
+    hits = near.withColumn("stem", F.explode(F.array_distinct(cuts))).join(targets.select("stem").distinct(), "stem", "left_semi")
+    return hits.dropDuplicates(["_id"]).select(*log.columns)
 
 
 def affinity_table(log: DataFrame, order: list[str]) -> DataFrame:

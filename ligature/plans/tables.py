@@ -63,10 +63,10 @@ def a19_paired_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- joins
 
 
-@query("with f as (select l_orderkey % 100 as pocket, l_linenumber % 2 as k, concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) as path from lineitem where l_orderkey % 20 < 3) select r.pocket, count(*)::bigint as pairs, count(distinct r.path)::bigint as receptors, min(r.path) as first_receptor, max(l.path) as last_ligand from f r join f l on r.pocket = l.pocket and r.k = 1 and l.k = 0 group by 1")
+@query("with f as (select l_orderkey as pocket, l_linenumber % 2 as k, concat(l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) as path from lineitem) select r.pocket, count(*)::bigint as pairs, count(distinct r.path)::bigint as receptors, min(r.path) as first_receptor, max(l.path) as last_ligand from f r join f l on r.pocket = l.pocket and r.k = 1 and l.k = 0 group by 1")
 def d1_pair_by_pocket(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    files = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 < 3").select((F.col("l_orderkey") % 100).alias("pocket"), F.when(F.col("l_linenumber") % 2 == 1, "rec").otherwise("lig").alias("kind"), path.alias("path"))
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pocket"), F.when(F.col("l_linenumber") % 2 == 1, "rec").otherwise("lig").alias("kind"), path.alias("path"))
     return pairs.pair_by_pocket(files).groupBy("pocket").agg(F.count("*").alias("pairs"), F.countDistinct("receptor").alias("receptors"), F.min("receptor").alias("first_receptor"), F.max("ligand").alias("last_ligand"))
 
 

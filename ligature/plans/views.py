@@ -35,7 +35,7 @@ from embeddings""",
        when l_linenumber % 3 = 0 then concat_ws(' ', '1', '0.5', cast(l_quantity as varchar(20)), concat('P', cast(l_suppkey as varchar(20)), '_rec_', cast(l_partkey % 50 as varchar(20))), concat('P', cast(l_suppkey as varchar(20)), '_lig_', cast(l_linenumber as varchar(20))))
        when l_linenumber % 2 = 0 then concat_ws(' ', '1', '0.0000', cast(l_quantity as varchar(20)), concat('P', cast(l_suppkey as varchar(20)), '_rec_', cast(l_partkey % 50 as varchar(20)), '.gninatypes'), concat('P', cast(l_suppkey as varchar(20)), '_lig_', cast(l_linenumber as varchar(20)), '.gninatypes'))
        else concat_ws(' ', '1', cast(l_quantity as varchar(20)), concat('P', cast(l_suppkey as varchar(20)), '/r', cast(l_partkey % 50 as varchar(20)), '_rec_0.gninatypes'), concat('P', cast(l_suppkey as varchar(20)), '/l', cast(l_linenumber as varchar(20)), '_lig_0.gninatypes')) end as line
-from lineitem where l_orderkey % 10 = 0""",
+from lineitem""",
     ),
     "v_metric": (
         "events",
