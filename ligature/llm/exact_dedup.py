@@ -83,8 +83,8 @@ def chunks(docs: DataFrame, bits: int = 64) -> DataFrame:
 def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each document: of equal texts the largest doc_id stays.
 
-    Null counts as empty, and empty texts are equal to each other. doc_id is unique and not null. Further
-    columns of ``docs`` are left out. ``bits``: of a fingerprint; few bits make collisions, for tests.
+    Null counts as empty, and empty texts are equal to each other. Repeated rows count each, and stay
+    or go together; a row with a null doc_id never stays if another has its text. Further columns are left out. ``bits``: of a fingerprint; few bits make collisions, for tests.
     """
     ship(docs.sparkSession)
     lists = materialise(recipes(docs, bits), "recipes")

@@ -149,7 +149,7 @@ def meet(df: DataFrame, keys: list[str], n: Column, block: int) -> DataFrame:
     blocks = F.ceil(n / block).cast("int")
     out = df.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     out = out.withColumn("i", F.least("own", "other").cast("int")).withColumn("j", F.greatest("own", "other").cast("int")).drop("other")
-    return out.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+    return out.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "rep")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -226,9 +226,11 @@ def verified(members: DataFrame, least: dict[int, int], threshold: float) -> Dat
             values, bounds = np.frombuffer(raw.tobytes(), np.uint64), offs // 8
             sizes = np.diff(bounds)
             links, trees = np.zeros(len(rep), np.int64), Forest(len(rep))
+            again = np.append(False, (rep[1:] == rep[:-1]) & (group[1:] == group[:-1]))  # repeated rows, which stand together
             last = np.searchsorted(group, group, "right")
-            for x in range(len(rep)):
+            for x in np.flatnonzero(~again).tolist():
                 ys = np.arange(x + 1, last[x])
+                ys = ys[~again[ys]]
                 if cross[x]:
                     ys = ys[own[ys] != own[x]]
                 small, large = np.minimum(sizes[x], sizes[ys]), np.maximum(sizes[x], sizes[ys])
@@ -255,8 +257,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
     n_links: the other documents whose set of five-word shingles has a Jaccard similarity of ``threshold`` at
     least. class_id: the smallest doc_id of those that hang together by links. A text of one to four words is
-    one shingle; a null text and one without words has no links. doc_id is unique and not null; words are
-    taken as they stand. Further columns of ``docs`` are left out.
+    one shingle; a null text and one without words has no links. Words are taken as they stand. Repeated rows
+    are copies of each other; rows with a null doc_id come back, and count as copies at most. Further columns of
+    ``docs`` are left out.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")

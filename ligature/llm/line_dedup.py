@@ -44,13 +44,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> t
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) for each document; ``kept`` is the text of its other lines.
 
-    doc_id must be unique and not null. Null and empty texts are one empty line, which stays. Repeats within
+    Rows that repeat a doc_id are one document, and have the same text; a row with a null doc_id keeps all lines.
+    Null and empty texts are one empty line, which stays. Repeats within
     one document count as one document; in the document with the largest doc_id all of them stay. Further
     columns of ``docs`` are left out, so none can clash.
     """
     lines, hot = repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs)
     found = lines.join(hot.hint("merge"), ["h1", "h2"]).filter(F.col("doc_id") != F.col("last_doc"))
-    places = materialise(found.groupBy("doc_id").agg(F.collect_list("pos").alias("places")), "line-drops")
+    places = materialise(found.groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "line-drops")
     split = docs.select("doc_id", lines_of(F.col("text")).alias("lines"))
     joined = split.join(places.hint("merge"), "doc_id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
     # array_except keeps a hash set, so this is linear in the lines; none of the places repeats

@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     are the shuffled shard. ``blocks``: of the whole mix; a block's size follows the corpus, so that tree and
     tables stay as small. With ``whole_documents`` a document's copy goes where its middle word goes, undivided.
 
-    doc_id is unique. Null text has size 0; documents without words and empty sources get no pieces; the null
+    doc_id is unique and not null; rows that repeat it share the pieces of all of them. Null text has size 0; documents without words and empty sources get no pieces; the null
     source is a source of its own, the last. Further columns of ``docs`` are left out.
     """
     source_key = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))

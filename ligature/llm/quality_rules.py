@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 60) -
     y = rows.column("y").to_numpy().astype(float)
     if len(set(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 40.0)
-    held = np.array([mix(np.array([d], np.uint64))[0] % np.uint64(5) == 0 for d in rows.column("doc_id").to_numpy()])
+    held = mix(rows.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(5) == 0
     lists = rows.column("idx").combine_chunks()
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     idx, share = lists.flatten().to_numpy(), rows.column("share").combine_chunks().flatten().to_numpy()

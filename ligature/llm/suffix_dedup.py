@@ -63,10 +63,10 @@ def all_contexts(docs: DataFrame, span: int, mark: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = text_block(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("doc_id")
             for a, b in slices(offs):
                 h, c, row, lo, n, m = contexts(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], span, mark)
-                cols = [pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(ids[a:b][row]), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int8))]
+                cols = [pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), ids[a:b].take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int8))]
                 yield pa.RecordBatch.from_arrays(cols, ["h", "c", "doc_id", "lo", "n", "m"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "h long, c long, doc_id long, lo int, n int, m byte")
@@ -291,8 +291,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, mark: int = MARK, shard_co
     which may cut a character in two.
 
     A null text is empty, texts shorter than ``span`` bytes keep everything, and matches never cross documents.
-    Strings are judged on the input, so all occurrences go, the first too. doc_id is unique and not null.
-    Further columns of ``docs`` are left out.
+    Strings are judged on the input, so all occurrences go, the first too. Rows that repeat a doc_id are documents
+    of their own with the same text; a row with a null doc_id keeps everything. Further columns are left out.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
