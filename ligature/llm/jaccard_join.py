@@ -29,7 +29,7 @@ WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 #: A pair at 0.8 misses all bands with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
 STEPS = (16, 32, 48, 64, 96, 128, 160)
-BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 256
+BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 96
 
 _random = np.random.RandomState(7)
 _FACTORS = (_random.randint(1, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
