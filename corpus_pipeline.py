@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. Only the first reads
 more than its docs: the labels that the classifier learns from.
+
+Decisions come back by doc_id. Rows with a null doc_id therefore leave at the first stage; rows that repeat a doc_id
+stay if one of them stays, and in the mix each of them gets the copies of all. Null and empty texts are judged like others.
 """
 
 from __future__ import annotations

@@ -46,6 +46,16 @@ def test_stages_take_empty_and_odd_tables(spark, tmp_path):
         assert stage(spark, docs(spark, clash=True), str(tmp_path)).count() >= 0
 
 
+def test_stages_decide_by_doc_id(spark, tmp_path):
+    good = learnable(60)
+    data = good + [good[1], (None, good[2][1], "en", "s0", 0)]
+    spark.createDataFrame([(r[0], int(r[0] % 5 != 0), 0) for r in good], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        ids = [r["doc_id"] for r in stage(spark, frame, str(tmp_path)).collect()]
+        assert None not in ids and ids.count(1) == 2
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 200), (300, 200)]
     out = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
