@@ -41,9 +41,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     every = Window.partitionBy(F.lit(1))
     before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
     level = (float(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("level", level)
-    # the level is that of the first source in this order which it does not fill
-    final = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(every)
+    per = per.withColumn("level", level).withColumn("place", F.row_number().over(by_fill))
+    # the level is that of the first source in this order which it does not fill; of ties too, the first
+    final = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct("place", "level"))).over(every)
     return per.withColumn("final", final["level"]).select("source", "source_size", "n_docs", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 

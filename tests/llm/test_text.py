@@ -195,6 +195,14 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.taken(empty(spark)).count() == 0
 
 
+def test_targets_of_sources_that_tie(spark):
+    for sizes in ({"a": 250, "b": 100}, {f"s{k:02}": 100 for k in range(20)}, {"a": 250, "b": 100, "c": 50, "d": 250, "e": 9000, None: 50}):
+        frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got, aim = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}, brute_targets(sizes)
+        assert got.keys() == aim.keys() and all(abs(got[s] - aim[s]) < 1e-6 * max(1, aim[s]) for s in aim)
+        assert abs(sum(got.values()) - 1.5 * sum(sizes.values())) < 1e-6 * sum(sizes.values())
+
+
 def test_mixing_deals_disjoint_blocks(spark):
     _, pieces = mixing.mix_sources(docs(spark), blocks=64, depth=2)
     found = pieces.collect()
