@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir); all but the last return the columns of ``do
 more than its docs: the labels that the classifier learns from.
 
 Decisions come back by doc_id. Rows with a null doc_id therefore leave at the first stage; rows that repeat a doc_id
-stay if one of them stays, and in the mix each of them gets the copies of all. Null and empty texts are judged like others.
+(with the same text) stay together up to the mix, which takes one of them. Null and empty texts are judged like others.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents by the sources' targets; a document that is taken twice is there twice."""
-    _, pieces = mixing.mix_sources(docs, whole_documents=True)
-    return docs.join(pieces.select("doc_id").hint("merge"), "doc_id").select(*COLUMNS)
+    """Whole documents by the sources' targets, one row of each doc_id; a document that is taken twice is there twice."""
+    _, pieces = mixing.mix_sources(docs, whole_documents=True, one_row=True)
+    return docs.dropDuplicates(["doc_id"]).join(pieces.select("doc_id").hint("merge"), "doc_id").select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

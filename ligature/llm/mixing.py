@@ -84,28 +84,44 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     return dealt.select("source_key", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, blocks: int = 2048, depth: int = 3, bucket_docs: int = 4096, whole_documents: bool = False, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, doc_id, ...) with ``repeat``: how many rows of the same doc_id come before. ``row`` has the number
+    of the partition in its upper bits, so a doc_id's rows are numbered in each partition and the counts joined."""
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    inside = Window.partitionBy("doc_id", "part").orderBy("row")
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("doc_id", "part").agg(F.count("*").alias("n")).withColumn("offset", F.sum("n").over(before)).filter("offset > 0")
+    offsets = offsets.select(F.col("doc_id").alias("same_id"), F.col("part").alias("same_part"), "offset")
+    found = rows.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, F.col("doc_id").eqNullSafe(F.col("same_id")) & (F.col("part") == F.col("same_part")), "left")
+    return found.withColumn("repeat", F.col("inside") + F.coalesce("offset", F.lit(0))).drop("part", "inside", "same_id", "same_part", "offset")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, blocks: int = 2048, depth: int = 3, bucket_docs: int = 4096, whole_documents: bool = False, one_row: bool = False, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Deal ``docs`` (doc_id, source, text) to 2**depth shards.
 
-    Returns the documents (doc_id, source, size, source_size, target) and the pieces of the mix: (doc_id, copy,
-    shard, block, first_word, words, local_order), where copy counts the passes over a source, first_word is
+    Returns the documents (row, doc_id, source, size, source_size, target) and the pieces of the mix: (row, doc_id,
+    copy, shard, block, first_word, words, local_order), where row is a key of the input's rows, copy counts the passes over a source, first_word is
     the place in the document from which ``words`` words are taken, and rows sorted by (shard, local_order)
     are the shuffled shard. ``blocks``: of the whole mix; a block's size follows the corpus, so that tree and
     tables stay as small. With ``whole_documents`` a document's copy goes where its middle word goes, undivided.
 
-    doc_id is unique and not null; rows that repeat it share the pieces of all of them. Null text has size 0; documents without words and empty sources get no pieces; the null
+    Rows that repeat a doc_id (with the same text) have pieces each of its own; with ``one_row``, one row of each doc_id
+    is taken and the others are left out. Null text has size 0; documents without words and empty sources get no pieces; the null
     source is a source of its own, the last. Further columns of ``docs`` are left out.
     """
     source_key = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    sizes = materialise(docs.select("doc_id", "source", source_key.alias("source_key"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", source_key.alias("source_key"), word_count(F.col("text")).alias("size"))
+    sizes = numbered(materialise(rows, "mix-rows"))
+    sizes = materialise(sizes.filter("repeat = 0") if one_row else sizes, "mix-sizes")
     aims = materialise(targets(sizes, weights, share, most).withColumn("source_key", source_key), "mix-targets")
     block_words = aims.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / F.lit(blocks))).cast("long")).first()[0] or 1
     aim = aims.select("source_key", "n_docs", "source_size", "target")  # a row a source: Spark broadcasts it if it is small
     # a random order of each source: hash buckets of bounded size, then the hash within; running sums in two steps
-    placed = sizes.filter("size > 0").join(aim, "source_key").select("doc_id", "source_key", "size", "source_size", "target", "n_docs", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy")).filter(F.col("copy") * F.col("source_size") < F.col("target"))
-    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), "copy", "doc_id"))
+    placed = sizes.filter("size > 0").join(aim, "source_key").select("row", "doc_id", "repeat", "source_key", "size", "source_size", "target", "n_docs", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy")).filter(F.col("copy") * F.col("source_size") < F.col("target"))
+    own = F.nullif(F.col("repeat"), F.lit(0))  # null adds nothing to a hash
+    placed = placed.withColumn("order", F.xxhash64(F.lit(seed), "copy", "doc_id", own))
     placed = placed.withColumn("bucket", F.pmod(F.col("order"), F.ceil(F.col("n_docs") / bucket_docs)).cast("long"))
-    in_bucket = Window.partitionBy("source_key", "copy", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source_key", "copy", "bucket").orderBy("order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = placed.groupBy("source_key", "copy", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_key").orderBy("copy", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source_key", "copy", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
@@ -116,16 +132,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     shards = materialise(shards, "mix-shards")
     if whole_documents:
         middle = F.col("start") + F.floor(F.col("size") / 2)
-        pieces = placed.filter(middle < F.col("line")).select("doc_id", "source_key", "copy", F.floor(middle / F.lit(block_words)).alias("block"), F.lit(0).cast("long").alias("first_word"), F.col("size").alias("words"))
+        pieces = placed.filter(middle < F.col("line")).select("row", "doc_id", "repeat", "source_key", "copy", F.floor(middle / F.lit(block_words)).alias("block"), F.lit(0).cast("long").alias("first_word"), F.col("size").alias("words"))
     else:
         end = F.least(F.col("start") + F.col("size"), F.col("line"))
         cut = placed.withColumn("end", end).filter(F.col("start") < F.col("end"))
         cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.lit(block_words)), F.floor((F.col("end") - 1) / F.lit(block_words)))))
         low, high = F.greatest(F.col("start"), F.col("block") * F.lit(block_words)), F.least(F.col("end"), (F.col("block") + 1) * F.lit(block_words))
-        pieces = cut.select("doc_id", "source_key", "copy", "block", (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
+        pieces = cut.select("row", "doc_id", "repeat", "source_key", "copy", "block", (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
     pieces = pieces.join(shards, ["source_key", "block"], "left")
-    pieces = pieces.withColumn("local_order", F.xxhash64(F.lit(seed), "shard", "doc_id", "copy", "first_word")).drop("source_key")
-    per_doc = sizes.join(aim, "source_key").select("doc_id", "source", "size", "source_size", "target")
+    pieces = pieces.withColumn("local_order", F.xxhash64(F.lit(seed), "shard", "doc_id", "copy", "first_word", own)).drop("source_key", "repeat")
+    per_doc = sizes.join(aim, "source_key").select("row", "doc_id", "source", "size", "source_size", "target")
     return per_doc, pieces
 
 
@@ -133,11 +149,11 @@ def write_mix(docs: DataFrame, pieces: DataFrame, path: str) -> None:
     """One folder a shard, its rows in their local order, the words of each piece as text."""
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     text = F.array_join(F.slice(words, (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")), " ")
-    out = pieces.join(docs.select("doc_id", "text"), "doc_id").select("shard", "local_order", "doc_id", "copy", "first_word", text.alias("text"))
+    out = pieces.join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").select("shard", "local_order", "doc_id", "copy", "first_word", text.alias("text"))
     out.repartitionByRange("shard", "local_order").sortWithinPartitions("shard", "local_order").write.partitionBy("shard").parquet(path)
 
 
 def taken(docs: DataFrame) -> DataFrame:
     per_doc, pieces = mix_sources(docs)
-    sums = pieces.groupBy("doc_id").agg(F.sum("words").alias("taken"))
-    return per_doc.join(sums, "doc_id", "left").select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
+    return per_doc.join(sums, "row", "left").select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -56,6 +56,14 @@ def test_stages_decide_by_doc_id(spark, tmp_path):
         assert None not in ids and ids.count(1) == 2
 
 
+def test_mix_takes_repeated_rows_once(spark, tmp_path):
+    good = learnable(40)
+    plain = spark.createDataFrame(good, SCHEMA).repartition(3)
+    often = spark.createDataFrame(good + [good[1]] * 30 + [good[2]], SCHEMA).repartition(5)
+    want, got = ([r["doc_id"] for r in corpus_pipeline.mix_by_source(spark, frame, str(tmp_path)).collect()] for frame in (plain, often))
+    assert sorted(got) == sorted(want) and max(map(got.count, got)) <= 2
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 200), (300, 200)]
     out = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}

@@ -230,6 +230,25 @@ def test_splitting_tree_keeps_quotas(spark):
     assert all(0.6 < x < 0.87 for x in share)
 
 
+def test_mixing_gives_repeated_rows_their_own_share(spark, tmp_path):
+    data = rows(n=30)
+    data += [data[0]] * 40 + [(None, "a b c", "en", "s1", 5)] * 3
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    out = mixing.taken(df).collect()
+    took, aim = Counter(), {}
+    source = {r[0]: r[3] for r in data}
+    for r in out:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        took[source[r["doc_id"]]] += r["taken"]
+        aim[source[r["doc_id"]]] = r["target"]
+    assert len(out) == len(data) and all(abs(took[s] - aim[s]) <= 1 for s in aim)
+    df = df.filter("doc_id is not null")
+    _, pieces = mixing.mix_sources(df)
+    mixing.write_mix(df, pieces, str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert back.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == pieces.agg(F.sum("words")).first()[0]
+
+
 def test_write_mix(spark, tmp_path):
     df = docs(spark)
     _, pieces = mixing.mix_sources(df)
