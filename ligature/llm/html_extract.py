@@ -1,9 +1,9 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio per line, smoothing, threshold clusters.
 
 The parser turns a page into lines, one for each block, and knows of each which elements it stands in. Lines in
-menus, adverts, forms and the like are out by their element or its class. Of the others, the text-to-tag ratio
-smoothed by a Gaussian tells dense lines from sparse ones; where the dense text gathers is the content region,
-and all of its lines are the article, short ones too.
+menus, adverts, forms and the like are out by their element or its class; an article's class is evidence only. Of the other lines, the text-to-tag ratio smoothed by a Gaussian tells dense from sparse ones;
+where the dense text gathers is the content region, an article or main element if one holds it, and all of its lines are
+the article, short ones too.
 """
 
 from __future__ import annotations
@@ -22,18 +22,20 @@ from .common import ship
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 APART = set("td th br option".split())
-SILENT = set("audio button canvas datalist dialog embed form head iframe input map menu nav noembed noframes noscript object option script select style svg template textarea title video aside footer".split())
+SILENT = set("audio button canvas datalist dialog embed head iframe input map menu nav noembed noframes noscript object option script select style svg template textarea title video aside footer".split())
 CONTAINERS = set("article body center div main section table td tr tbody ul ol dl form details".split())
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "caption", "legend", "summary", "tbody", "tfoot", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "p": {"div", "article", "section", "td", "li", "blockquote", "main", "body", "table"}}
 #: Words in an element's class, id or role that say it isn't part of the article.
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|breadcrumbs?|comments?|commentlist|disqus|replies|respond|cookies?(?:bar|banner|notice)?|consent|gdpr|notices?|"
+NAMES = (
+    r"ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|breadcrumbs?|comments?|commentlist|disqus|replies|respond|cookies?(?:bar|banner|notice)?|consent|gdpr|notices?|"
     r"alert|popup|modal|overlay|dialog|newsletter|subscribe|subscription|signup|login|search|searchbox|share|sharing|social|sidebar|side|widgets?|rail|related|recommend(?:ed|ations)?|menu|"
-    r"nav|navbar|navigation|topbar|toolbar|masthead|pager|pagination|paginator|footer|foot|copyright|complementary|contentinfo|skip|toc|header|site-header|page-header)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+    r"nav|navbar|navigation|topbar|toolbar|masthead|pager|pagination|paginator|footer|foot|copyright|complementary|contentinfo|skip|toc|header|site-header|page-header"
 )
+ASIDE = re.compile(rf"(?:^|[\s_-])(?:{NAMES})(?:$|[\s_-]|\d)", re.IGNORECASE)
+#: One of a class's names says this and nothing else ("comments", not "comments-open").
+WHOLLY = re.compile(rf"(?:^|\s)(?:{NAMES})(?:[_-]?(?:{NAMES}|list|box|area|section|block|wrapper|container|form|item|body|text|\d+))*(?:$|\s)", re.IGNORECASE)
 #: Names that are the content's own, whatever else they hold.
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|article-?body|entry|entry-content|post|post-content|story|content|main|main-content)(?:$|[\s_-])", re.IGNORECASE)
 SIGMA, RADIUS = 1.5, 4
@@ -57,6 +59,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # name, whether out, number if it is a container
         self.out = self.links = self.articles = self.count = 0
         self.kinds: dict[int, str] = {}
+        self.doubted: dict[int, bool] = {}  # numbers of elements that may be out, and whether a name says only that
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -104,14 +107,18 @@ class Lines(HTMLParser):
                 self.pop_to(outer)
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         out = tag in SILENT or tag == "header" and not self.articles
-        if not out and names and tag not in ("html", "body", "article", "main"):
-            out = bool(ASIDE.search(names)) and not (CONTENT.search(names) and not re.search(r"comment|related|sidebar|\bads?\b", names, re.IGNORECASE))
+        doubt = tag == "form"
+        if not out and names and tag not in ("html", "body", "main"):
+            doubt = doubt or bool(ASIDE.search(names)) and not (CONTENT.search(names) and not re.search(r"comment|related|sidebar|\bads?\b", names, re.IGNORECASE))
+        out = out or doubt and tag != "article"
         out = out or any(k in ("hidden",) or (k, v) == ("aria-hidden", "true") for k, v in attrs)
         number = 0
-        if tag in CONTAINERS:
+        if tag in CONTAINERS or doubt and not out:
             self.count += 1
             number = self.count
             self.kinds[number] = tag
+            if doubt and not out:
+                self.doubted[number] = bool(WHOLLY.search(names))
         self.open.append((tag, out, number))
         self.out += out
         self.links += tag == "a"
@@ -164,31 +171,70 @@ def dense(lines: list[Line]) -> np.ndarray:
     return (smooth >= min((low + high) / 2, smooth.std() or 0.0)) & np.array([not x.aside for x in lines])
 
 
+def settle(page: Lines) -> None:
+    """Marks the lines of doubted elements as out, but for those elements that hold the page's dense text.
+
+    A doubted element stays if it holds an article or main, or most of the dense text (the latter not if a name says
+    wholly that it's something else), and no content worth the name stands outside.
+    """
+    lines = page.lines
+    total, inside, holds, own, above = 0, dict.fromkeys(page.doubted, 0), set(), {0: 0}, {}
+    for x, is_dense in zip(lines, dense(lines)):
+        doubted = [n for n in x.path if n in page.doubted]
+        for k, n in enumerate(doubted):
+            above.setdefault(n, [0, *doubted[:k]])
+        if is_dense:
+            total += len(x.text)
+            marked = max((n for n in x.path if page.kinds[n] in ("article", "main")), default=0)
+            for n in doubted:
+                inside[n] += len(x.text)
+            holds.update(n for n in doubted if n <= marked)
+            if marked:  # by the innermost doubted element
+                own[max(doubted, default=0)] = own.get(max(doubted, default=0), 0) + len(x.text)
+    gone = set()
+    for n, wholly in page.doubted.items():
+        # of other doubted elements only those around this one count as content
+        outside = sum(own.get(m, 0) for m in above.get(n, ()))
+        clear = outside == 0 if wholly else outside * REGION <= inside[n] * (1 - REGION)
+        if not (inside[n] and clear and (n in holds or not wholly and inside[n] >= REGION * total)):
+            gone.add(n)
+    for x in lines:
+        x.aside = x.aside or not gone.isdisjoint(x.path)
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line feeds; empty if the page has none."""
     page = parse(html or "")
     lines = page.lines
+    if page.doubted and any(not x.aside for x in lines):
+        settle(page)
     if not any(not x.aside for x in lines):
         return ""
     chosen = dense(lines)
+    if not chosen.any():
+        chosen = np.array([not x.aside for x in lines])
     weight: dict[int, int] = {}
     for x, is_dense in zip(lines, chosen):
         if is_dense:
             for n in x.path:
                 weight[n] = weight.get(n, 0) + len(x.text)
-    for kind in ("article", "main"):
-        marked = {n for x in lines if not x.aside for n in x.path if page.kinds[n] == kind}
-        if marked:
-            return "\n".join(x.text for x in lines if not x.aside and marked.intersection(x.path))
     total = sum(len(x.text) for x, is_dense in zip(lines, chosen) if is_dense)
-    region, depth = None, 0
-    while total:  # go down while one element holds most of the dense text
+    # the innermost article or main that holds most of the dense text; else go down while one element holds it
+    region = max((n for n, size in weight.items() if page.kinds[n] in ("article", "main") and size >= REGION * total), default=None)
+    whole, depth = region is not None, 0
+    while not whole:
         inner = {x.path[depth] for x in lines if len(x.path) > depth and (region is None or region in x.path)}
         best = max(inner, key=lambda n: weight.get(n, 0), default=None)
         if best is None or weight.get(best, 0) < REGION * total or page.kinds[best] in ("tr", "td", "li"):
             break
         region, depth = best, depth + 1
-    return "\n".join(x.text for x in lines if not x.aside and (region is None or region in x.path) and x.linked < LINKED * len(x.text))
+    kept = [x for x in lines if not x.aside and (region is None or region in x.path) and (whole or x.linked < LINKED * len(x.text))]
+    # articles within the region that hold the lesser part of its dense text are teasers or replies
+    inner_articles = {n for n, kind in page.kinds.items() if kind == "article" and n > (region or 0)}
+    nested = sum(len(x.text) for x, is_dense in zip(lines, chosen) if is_dense and (region is None or region in x.path) and inner_articles.intersection(x.path))
+    if nested <= (1 - REGION) * (weight[region] if region else total):
+        kept = [x for x in kept if not inner_articles.intersection(x.path)]
+    return "\n".join(x.text for x in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

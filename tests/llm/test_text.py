@@ -65,6 +65,25 @@ def test_html_main_text(page):
     assert html_extract.main_text(page) == WANT
 
 
+STORY = "".join(f"<p>Paragraph {k} of the story goes on for a good while, so that its line is a dense one.</p>" for k in range(8))
+TOLD = "\n".join(f"Paragraph {k} of the story goes on for a good while, so that its line is a dense one." for k in range(8))
+CARDS = "".join(f"<article class=card><h3><a href=/{k}>Teaser {k}</a></h3><p>Read on.</p></article>" for k in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav>Menu</nav><main><div>{STORY}</div><section class=more>{CARDS}</section></main>",
+        f"<body><div>{STORY}</div><section class=more>{CARDS}</section>",
+        f"<article>{STORY}<article class=comment><p>A reply that has some length, too, but not as much.</p></article></article>",
+        f"<article>{STORY}</article><article class=comment><p>A reply that has some length, too, but not as much.</p></article>",
+        f"<article>{STORY}</article><section class=comments>{''.join(f'<article>{STORY}</article>' for _ in range(5))}</section>",
+    ],
+)
+def test_html_dense_text_chooses_the_region(page):
+    assert html_extract.main_text(page) == TOLD
+
+
 def test_html_odd_pages(spark):
     pages = [(0, "u", None), (1, None, ""), (2, "u", "<p"), (3, "u", "plain"), (4, "u", "<nav>only</nav>"), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<article><p>" + "long " * 50000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
