@@ -1,7 +1,8 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio per line, smoothing, threshold clusters.
 
 The parser turns a page into lines, one for each block, and knows of each which elements it stands in. Lines in
-menus, adverts, forms and the like are out by their element or its class; an article's class is evidence only. Of the other lines, the text-to-tag ratio smoothed by a Gaussian tells dense from sparse ones;
+menus, adverts and the like are out by their element; a form or an element's class is evidence only, which the page's
+dense text can outweigh. Of the other lines, the text-to-tag ratio smoothed by a Gaussian tells dense from sparse ones;
 where the dense text gathers is the content region, an article or main element if one holds it, and all of its lines are
 the article, short ones too.
 """
@@ -110,7 +111,7 @@ class Lines(HTMLParser):
         doubt = tag == "form"
         if not out and names and tag not in ("html", "body", "main"):
             doubt = doubt or bool(ASIDE.search(names)) and not (CONTENT.search(names) and not re.search(r"comment|related|sidebar|\bads?\b", names, re.IGNORECASE))
-        out = out or doubt and tag != "article"
+        out = out or doubt and tag not in BLOCKS
         out = out or any(k in ("hidden",) or (k, v) == ("aria-hidden", "true") for k, v in attrs)
         number = 0
         if tag in CONTAINERS or doubt and not out:

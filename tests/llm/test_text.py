@@ -84,6 +84,14 @@ def test_html_dense_text_chooses_the_region(page):
     assert html_extract.main_text(page) == TOLD
 
 
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='content with-sidebar'", "div class='post comments-open'", "form action=/", "div class=header"])
+def test_html_names_of_wrappers_are_evidence_only(wrapper):
+    tag, side = wrapper.split()[0], f"<div class=sidebar><p>{WANT}</p></div><div class=comments>{STORY}</div>"
+    assert html_extract.main_text(f"<body><{wrapper}><article>{STORY}</article>{side}</{tag}>") == TOLD
+    if wrapper != "div class=header":
+        assert html_extract.main_text(f"<body><{wrapper}><div>{STORY}</div><div class=sidebar><p>Side</p></div></{tag}>") == TOLD
+
+
 def test_html_odd_pages(spark):
     pages = [(0, "u", None), (1, None, ""), (2, "u", "<p"), (3, "u", "plain"), (4, "u", "<nav>only</nav>"), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<article><p>" + "long " * 50000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
