@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialise, mix, prefix_sums, ship, slices, span_hashes, text_block, word_spans
+from .common import Forest, components, materialise, mix, ship, slices, span_hashes, text_block, word_spans
 
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 #: A pair at 0.8 misses all bands with probability (1 - 0.8**5)**32 = 3e-6.
@@ -39,7 +39,7 @@ _ADDENDS = _random.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32)
 def shingle_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """Sorted hashes of each row's runs of WIDTH words; a shorter text's words are its one shingle."""
     starts, ends, first = word_spans(raw, offs)
-    h = span_hashes(prefix_sums(raw), starts, ends)
+    h = span_hashes(raw, starts, ends)
     run = np.zeros(max(0, len(h) - WIDTH + 1), np.uint64)
     for k in range(WIDTH):
         run = mix(run * np.uint64(31) + h[k : len(h) - WIDTH + 1 + k])

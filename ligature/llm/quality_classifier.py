@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prefix_sums, ship, slices, span_hashes, sums_by_row, text_block, word_spans
+from .common import materialise, ship, slices, span_hashes, sums_by_row, text_block, word_spans
 from .quality_rules import base_counts, labelled, platt
 
 CLASSES = [np.isin(np.arange(256), np.frombuffer(x, np.uint8)).astype(np.int64) for x in (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"!?", b"|", b"#*$%&<>@_~^=+{}[]\\/")]
@@ -26,13 +26,13 @@ MOST_SHIFT = 2.0
 
 def shares(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Shares of kinds of characters, of repeated words and lines, and mean lengths: rows x N_SHARES."""
-    words, sums = word_spans(raw, offs), prefix_sums(raw)
-    base = base_counts(raw, offs, words, sums)
+    words = word_spans(raw, offs)
+    h = span_hashes(raw, *words[:2])
+    base = base_counts(raw, offs, words, h)
     starts, ends, first = words
     n = np.maximum(1, base["n_words"])
     chars = np.maximum(1, base["word_chars"])
     out = [sums_by_row(k[raw], offs) / chars for k in CLASSES]
-    h = span_hashes(sums, starts, ends)
     same = np.zeros(len(h), np.int64)
     same[1:] = h[1:] == h[:-1]
     same[first[:-1][first[:-1] < len(h)]] = 0

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_sums, ship, slices, span_hashes, sums_by_row, text_block, word_spans
+from .common import materialise, mix, ship, slices, span_hashes, sums_by_row, text_block, word_spans
 
 BITS = 17
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -35,12 +35,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -40, 40)))
 
 
-def grams(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], sums: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Three families of hashed features: (index of each occurrence, first occurrence of each row)."""
-    starts, ends, first = words
+def grams(raw: np.ndarray, offs: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Three families of hashed features: (index of each occurrence, first occurrence of each row), from the words'
+    ``hashes`` and each row's ``first`` word."""
     keep = np.uint64((1 << BITS) - 1)
     out = []
-    hashes = span_hashes(sums, starts, ends)
     out.append(((hashes & keep).astype(np.int32), first))
     pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:]) if len(hashes) else hashes
     inside = np.ones(len(pairs), bool)
@@ -62,8 +61,8 @@ def grams(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.ndarray
     return out
 
 
-def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], sums: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
+def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> dict[str, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row; ``h``: the words' hashes."""
     starts, ends, first = words
     rows, n = len(offs) - 1, np.diff(first)
     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
@@ -79,7 +78,7 @@ def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.n
     with_word = np.searchsorted(starts, edge_starts) < np.searchsorted(starts, edge_ends)
     ls, le = edge_starts[with_word], edge_ends[with_word]
     line_row = np.searchsorted(offs, ls, "right") - 1
-    lines = span_hashes(sums, ls, le)
+    lines = span_hashes(raw, ls, le)
     order = np.lexsort((lines, line_row))
     again = np.zeros(len(order), bool)
     again[1:] = (lines[order][1:] == lines[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
@@ -88,7 +87,6 @@ def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.n
     repeat = np.zeros(len(starts) + 1, np.int64)
     if len(starts) > 2:
         row = np.repeat(np.arange(rows), n)
-        h = span_hashes(sums, starts, ends)
         at = np.flatnonzero(row[:-2] == row[2:])
         windows = mix(mix(h[at] * np.uint64(3) + h[at + 1]) * np.uint64(5) + h[at + 2]) ^ mix(row[at].astype(np.uint64))
         order = np.argsort(windows, kind="stable")
@@ -105,22 +103,32 @@ def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.n
 
 
 def evidence(docs: DataFrame) -> DataFrame:
-    """Sparse features of labelled documents: (doc_id, y, idx, share)."""
+    """Sparse features of labelled documents: (doc_id, y, n, idx, share), of which a text has 2**BITS at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw_all, offs_all = text_block(batch.column("text"))
             for lo, hi in slices(offs_all):
                 raw, offs = raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
-                families = grams(raw, offs, word_spans(raw, offs), prefix_sums(raw))
+                words = word_spans(raw, offs)
+                families = grams(raw, offs, words[2], span_hashes(raw, *words[:2]))
                 idx, share = [], []
                 for i in range(hi - lo):
-                    parts = [np.unique(x[b[i] : b[i + 1]], return_counts=True) for x, b in families]
-                    idx.append(np.concatenate([p[0] for p in parts]))
-                    share.append(np.concatenate([p[1] / max(1, p[1].sum()) for p in parts]).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("y")[lo:hi], pa.array(idx, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], ["doc_id", "y", "idx", "share"])
+                    own = [x[b[i] : b[i + 1]] for x, b in families]
+                    place, at = np.unique(np.concatenate(own), return_inverse=True)
+                    idx.append(place)
+                    share.append(np.bincount(at, np.concatenate([np.full(len(x), 1 / max(1, len(x))) for x in own]), len(place)).astype(np.float32))
+                n = pa.array([len(x) for x in idx], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("y")[lo:hi], n, pa.array(idx, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], ["doc_id", "y", "n", "idx", "share"])
+
+    return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, n long, idx array<int>, share array<float>")
+
 
-    return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, idx array<int>, share array<float>")
+def bounded(rows: DataFrame, most_entries: int) -> DataFrame:
+    """Those first ``rows`` of evidence(), by the hashes of their ids, that have ``most_entries`` entries in all."""
+    by_hash = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of a bounded sample, without its features
+    some = rows.select("doc_id", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)).alias("sum")).filter(F.col("sum") <= most_entries)
+    return rows.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
 
 
 def descend(idx: np.ndarray, share: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -163,11 +171,15 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``most`` rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 60) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 60, most_entries: int = 1 << 23) -> Model:
     """Fit on four fifths of a bounded sample of labelled rows, calibrate on the fifth. Without both kinds of
-    labels, every text gets the probability 1."""
+    labels, every text gets the probability 1.
+
+    The sample has ``most`` rows at most, whole texts, and so many of them that their features have ``most_entries``
+    entries (of eight bytes, on the driver) at most; a text has 2**BITS at most, so 64 texts always fit.
+    """
     ship(docs.sparkSession)
-    rows = evidence(labelled(docs, labels, most)).toArrow()
+    rows = bounded(materialise(evidence(labelled(docs, labels, most)), "labelled-features"), most_entries).toArrow()
     y = rows.column("y").to_numpy().astype(float)
     if len(set(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 40.0)
@@ -199,10 +211,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             raw_all, offs_all = text_block(batch.column("text"))
             for lo, hi in slices(offs_all):
                 raw, offs = raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
-                words, sums = word_spans(raw, offs), prefix_sums(raw)
-                base = base_counts(raw, offs, words, sums)
+                words = word_spans(raw, offs)
+                h = span_hashes(raw, *words[:2])
+                base = base_counts(raw, offs, words, h)
                 z = np.full(hi - lo, own.bias)
-                for idx, bounds in grams(raw, offs, words, sums):
+                for idx, bounds in grams(raw, offs, words[2], h):
                     z += sums_by_row(own.weights[idx].astype(np.float64), bounds) / np.maximum(1, np.diff(bounds))
                 p = own.probability(z)
                 failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * base["n_words"])

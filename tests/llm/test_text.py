@@ -122,6 +122,30 @@ def test_quality_rules_count_and_judge(spark):
     assert quality_rules.apply_rules(empty(spark), none).count() == 0
 
 
+def test_quality_rules_tell_lines_that_defeat_polynomials_apart(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = f"{word}\n{other}\n{word}"
+    data = [(1, f"{word}\n{other}", "en", "s", 0), (2, text, "en", "s", 0)]
+    out = {r["doc_id"]: r for r in quality_rules.apply_rules(spark.createDataFrame(data, SCHEMA), labels(spark)).collect()}
+    assert out[1]["n_dup_lines"] == 0 and out[2]["n_dup_lines"] == brute_counts(text)[3] == 1
+
+
+def test_quality_rules_bound_what_the_driver_holds(spark):
+    data = learnable(200) + [(900 + k, " ".join(f"w{k}x{j}" for j in range(20_000)), "en", "s", 0) for k in range(3)]
+    df = spark.createDataFrame(data, SCHEMA)
+    marks = spark.createDataFrame([(r[0], int(r[0] % 5 != 0), 0) for r in data], "doc_id long, quality int, toxic int")
+    rows = quality_rules.evidence(quality_rules.labelled(df, marks, 4000)).persist()
+    for most in (1 << 23, 100_000, 2000):
+        n = [r["n"] for r in quality_rules.bounded(rows, most).select("n").collect()]
+        assert sum(n) <= most and n and (len(n) == len(data)) == (most == 1 << 23)
+    rows.unpersist()
+    out = quality_rules.score(df, quality_rules.fit(df, marks, most_entries=20_000)).collect()
+    assert sum(r["p_quality"] >= 0.5 for r in out if r["doc_id"] % 5) >= 150
+
+
 def learnable(n=400):
     rnd = random.Random(4)
     good = "the of and to in is it that was for on are as with they be at one have this".split()
