@@ -2,40 +2,42 @@
 
 Candidates first, without loss: of the spans of MARK bytes in a string of SPAN bytes the one with the least hash
 is the string's anchor, so equal strings have equal anchors wherever they stand. Neighbouring starts with the
-same anchor form a context. Contexts whose anchor occurs once can't repeat; contexts that are equal as wholes
-are repeated as wholes. What is left, contexts of one anchor that differ, is dealt by anchor to shards. A shard
-sorts the suffixes of its contexts by Larsson-Sadakane refinement in numpy, three ranks at a time, leaving out
-groups that are sorted already, and takes common prefixes by Kasai's rule, many contexts side by side. A
-group of contexts too large for one shard is cut, and the cuts are merged on two 64-bit hashes of the strings
-that they start: a search of every cut in every other would grow with the square of their number.
+same anchor form a context. Contexts whose anchor occurs once can't repeat; contexts that are equal as wholes,
+which 128 bits of BLAKE2b tell, are repeated as wholes, and one of each kind goes on. Its starts are split by where
+their anchor stands: those in the left half of its room share EXT more bytes on its left, the others on its right,
+so equal strings also have equal longer keys, and parts whose key occurs once are done. What is left is dealt by key to shards.
+A shard sorts the suffixes of its parts by Larsson-Sadakane refinement in numpy, three ranks at a time, leaving out
+groups that are sorted already, and takes common prefixes by Kasai's rule, many parts side by side. A key with
+more parts than a shard may have is cut, and the cuts are merged: each hands on its distinct strings in order, Spark
+deals them to ranges by binary search in bounds that it samples from them, and equal strings, compared by their bytes, meet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, prefix_sums, rolling_hashes, ship, slices, span_hashes, text_block
+from .common import SLICE_BYTES, materialise, mix, rolling_hashes, ship, slices, text_block
 from .jaccard_join import whole_groups
 
 SPAN, MARK = 200, 73
-#: Contexts of a shard of one anchor, on average, and bytes of the suffixes sorted at once.
-SHARD_CONTEXTS, SORT_BYTES = 4096, 1 << 20
+#: Bytes of a shard of one key, on average, and of the parts whose suffixes are sorted at once.
+SHARD_BYTES = SORT_BYTES = 1 << 18
 LANE = 64
 
 
-def contexts(raw: np.ndarray, offs: np.ndarray, span: int, mark: int) -> tuple[np.ndarray, ...]:
-    """Of each context: hash of its anchor, hash of all its bytes, row, place in the row, number of starts, and
-    how often the anchor stands in it (2 for more)."""
-    empty = np.zeros(0, np.int64)
+def anchors(raw: np.ndarray, offs: np.ndarray, span: int, mark: int) -> tuple[np.ndarray, ...]:
+    """Of each start of ``span`` bytes within a row: start, row, place of its anchor and the anchor's hash."""
     wide = span - mark + 1
     hashes = rolling_hashes(raw, mark)
     if len(hashes) < wide:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty, empty.astype(np.uint64)
     # least (hash, place) of each window by doubling; the upper half of the hash decides, then the place
     least, width = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64), 1
     while width * 2 <= wide:
@@ -44,36 +46,63 @@ def contexts(raw: np.ndarray, offs: np.ndarray, span: int, mark: int) -> tuple[n
         least = np.minimum(least[: len(least) - (wide - width)], least[wide - width :])
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(least)]
     start = np.flatnonzero(np.arange(len(least)) + span <= offs[row + 1])
-    if not len(start):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty, empty
     place = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    anchor, own = hashes[place], row[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])
+    return start, row[start], place, hashes[place]
+
+
+def first_and_last(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
+    return first, np.append(first[1:], len(new))[: len(first)] - 1
+
+
+def contexts(raw: np.ndarray, offs: np.ndarray, span: int, mark: int) -> tuple[np.ndarray, ...]:
+    """Of each context: hash of its anchor, two halves of the digest of all its bytes, row, place in the row, number
+    of starts, and how often the anchor stands in it (2 for more)."""
+    start, row, place, hashes = anchors(raw, offs, span, mark)
+    first, last = first_and_last(hashes, row)
     lo, n = start[first], last - first + 1
-    whole = span_hashes(prefix_sums(raw), lo, lo + n - 1 + span)
-    return anchor[first], whole, own[first], lo - offs[own[first]], n, 1 + (place[first] != place[last])
+    view, digest = memoryview(raw), hashlib.blake2b
+    whole = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), (lo + n - 1 + span).tolist())])
+    halves = np.ndarray((len(lo), 2), np.int64, whole)
+    return hashes[first].astype(np.int64), halves[:, 0], halves[:, 1], row[first], lo - offs[row[first]], n, 1 + (place[first] != place[last])
+
+
+def segments(offs: np.ndarray, span: int) -> Iterator[tuple[int, int, int, int]]:
+    """Rows a..b and their bytes in slices; a longer row comes alone, in segments in which each of its starts is once."""
+    for a, b in slices(offs):
+        if offs[b] - offs[a] <= 2 * SLICE_BYTES:
+            yield a, b, int(offs[a]), int(offs[b])
+        else:
+            for at in range(int(offs[a]), int(offs[b]) - span + 1, SLICE_BYTES):
+                yield a, b, at, min(int(offs[b]), at + SLICE_BYTES + span - 1)
 
 
 def all_contexts(docs: DataFrame, span: int, mark: int) -> DataFrame:
-    """(h, c, doc_id, lo, n, m): see contexts()."""
+    """(h, c1, c2, doc_id, lo, n, m): see contexts()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = text_block(batch.column("text"))
             ids = batch.column("doc_id")
-            for a, b in slices(offs):
-                h, c, row, lo, n, m = contexts(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], span, mark)
-                cols = [pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), ids[a:b].take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int8))]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "c", "doc_id", "lo", "n", "m"])
+            for a, b, start, end in segments(offs, span):
+                bounds = np.clip(offs[a : b + 1], start, end) - start
+                h, c1, c2, row, lo, n, m = contexts(raw[start:end], bounds, span, mark)
+                lo = lo + start - offs[a]
+                cols = [pa.array(h), pa.array(c1), pa.array(c2), ids[a:b].take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int8))]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "c1", "c2", "doc_id", "lo", "n", "m"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, c long, doc_id long, lo int, n int, m byte")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, c1 long, c2 long, doc_id long, lo int, n int, m byte")
 
 
-def context_bytes(docs: DataFrame, span: int) -> DataFrame:
-    """(h, c, data) from (text, wanted array<struct<h, c, lo, n>>)."""
+def context_parts(docs: DataFrame, span: int, mark: int) -> DataFrame:
+    """(k, c1, c2, at, m, data) from (text, wanted array<struct<c1, c2, lo, n>>): the parts of each wanted context, whose
+    starts have their anchors in one half and one key k; ``at`` is the place in the context, and m is 2 if the part has
+    several anchors, so that it may repeat within itself."""
+    ext = (span - mark + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,32 +110,23 @@ def context_bytes(docs: DataFrame, span: int) -> DataFrame:
             wanted = batch.column("wanted")
             flat, bounds = wanted.flatten(), wanted.offsets.to_numpy()
             bounds = bounds - bounds[0]
-            h, c, lo, n = (flat.field(k) for k in range(4))
-            begin = lo.to_numpy() + np.repeat(offs[:-1], np.diff(bounds))
-            end = begin + n.to_numpy() - 1 + span
-            for at in range(0, len(begin), 8192):
-                to = min(at + 8192, len(begin))
-                data = [raw[a:b].tobytes() for a, b in zip(begin[at:to], end[at:to])]
-                yield pa.RecordBatch.from_arrays([h[at:to], c[at:to], pa.array(data, pa.binary())], ["h", "c", "data"])
-
-    return docs.select("text", "wanted").mapInArrow(run, "h long, c long, data binary")
-
-
-def ranks_of(keys: list[np.ndarray], most: int) -> np.ndarray:
-    """Dense ranks of rows of keys below ``most``; packed into one integer where they fit."""
-    bits = max(1, int(most).bit_length())
-    key = keys[0].astype(np.int64)
-    for k in keys[1:]:
-        if int(key.max(initial=0)).bit_length() + bits > 62:
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        key = (key << bits) | k
-    order = np.argsort(key)
-    new = np.ones(len(key), np.int64)
-    new[1:] = key[order][1:] != key[order][:-1]
-    new[0] = 0
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+            c1, c2, lo, n = (flat.field(k).to_numpy() for k in range(4))
+            begin = lo + np.repeat(offs[:-1], np.diff(bounds))
+            size = n.astype(np.int64) - 1 + span
+            for x, y in slices(np.append(0, np.cumsum(size))):
+                text = np.concatenate([raw[a : a + s] for a, s in zip(begin[x:y].tolist(), size[x:y].tolist())])
+                edges = np.append(0, np.cumsum(size[x:y]))
+                start, row, place, _ = anchors(text, edges, span, mark)
+                left = place - start >= ext
+                keys = mix(rolling_hashes(text, mark + ext)[place - ext * left] + left.astype(np.uint64)).astype(np.int64)
+                first, last = first_and_last(keys, row)
+                own = row[first]
+                data = [text[a:b].tobytes() for a, b in zip(start[first].tolist(), (start[last] + span).tolist())]
+                m = 1 + (place[first] != place[last])
+                cols = [pa.array(keys[first]), pa.array(c1[x:y][own]), pa.array(c2[x:y][own]), pa.array((start[first] - edges[own]).astype(np.int32)), pa.array(m.astype(np.int8)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "c1", "c2", "at", "m", "data"])
+
+    return docs.select("text", "wanted").mapInArrow(run, "k long, c1 long, c2 long, at int, m byte, data binary")
 
 
 def sorted_starts(text: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
@@ -116,13 +136,12 @@ def sorted_starts(text: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray
     place and at the two places a depth and two depths on. Groups of one are sorted and are left out.
     """
     n = len(text)
+    bits = max(1, int(n).bit_length())
     word = words_at(text)
     order = np.argsort(word)
-    new = np.ones(n, np.int64)
-    new[1:] = word[order][1:] != word[order][:-1]
-    group = np.empty(n, np.int64)
-    head = np.flatnonzero(new)
-    group[order] = np.repeat(head, np.diff(np.append(head, n)))  # numbered by its first place in the order
+    head, tail = first_and_last(word[order])
+    group = np.empty(n, np.int32)
+    group[order] = np.repeat(head, tail - head + 1)  # numbered by its first place in the order
     depth = 8
     while depth < span:
         reach = min(depth, (span - depth + 1) // 2)  # the last round overlaps, to end at ``span`` or a little beyond
@@ -130,16 +149,16 @@ def sorted_starts(text: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray
         open_ = np.flatnonzero(size[group] > 1)
         if not len(open_):
             break
-        ahead = np.append(group, np.zeros(2 * depth + 1, np.int64))
-        within = ranks_of([group[open_], ahead[open_ + reach], ahead[open_ + 2 * reach]], n)
-        # new numbers: old head plus the place within the group
-        by = np.argsort(within, kind="stable")
-        old, sub = group[open_[by]], within[by]
-        first_of_old = np.searchsorted(old, old)
-        first_of_sub = np.searchsorted(sub, sub)
-        fresh = group.copy()
-        fresh[open_[by]] = old + (first_of_sub - first_of_old)
-        group = fresh
+        ahead = np.append(group, np.zeros(2 * depth + 1, np.int32))
+        key = (group[open_].astype(np.int64) << bits) | ahead[open_ + reach]
+        if 3 * bits > 63:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = (key << bits) | ahead[open_ + 2 * reach]
+        by = np.argsort(key)
+        old, key, at = group[open_[by]], key[by], np.arange(len(by), dtype=np.int32)
+        new_old, new_key = np.append(True, old[1:] != old[:-1]), np.append(True, key[1:] != key[:-1])
+        # the new number: the old one plus the place within the group
+        group[open_[by]] = old + np.maximum.accumulate(np.where(new_key, at, 0)) - np.maximum.accumulate(np.where(new_old, at, 0))
         depth += 2 * reach
     return starts[np.argsort(group[starts], kind="stable")]
 
@@ -161,10 +180,10 @@ def kasai(text: np.ndarray, starts: np.ndarray, ordered: np.ndarray, lane: np.nd
     before it, as long as q + 1 is a start too and stands before p + 1; where it isn't, the count begins at 0.
     Lanes of consecutive starts go side by side, eight bytes at a time, then single bytes.
     """
-    limit, out = len(text), np.zeros(len(starts), np.int64)
-    before, rank = np.full(limit + 1, -1, np.int64), np.full(limit + 1, -1, np.int64)
+    limit, out = len(text), np.zeros(len(starts), np.int32)
+    before, rank = np.full(limit + 1, -1, np.int32), np.full(limit + 1, -1, np.int32)
     before[ordered[1:]] = ordered[:-1]
-    rank[ordered] = np.arange(len(ordered))
+    rank[ordered] = np.arange(len(ordered), dtype=np.int32)
     word = words_at(text)
     head = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
     length = np.diff(np.append(head, len(starts)))
@@ -191,70 +210,70 @@ def kasai(text: np.ndarray, starts: np.ndarray, ordered: np.ndarray, lane: np.nd
     return out
 
 
-def repeated_starts(text: np.ndarray, bounds: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of contexts text[bounds[i]:bounds[i + 1]]: all starts, their contexts, and whether each one's ``span`` bytes
-    start elsewhere too."""
+def repeated_starts(text: np.ndarray, bounds: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Of parts text[bounds[i]:bounds[i + 1]]: all starts, their parts, whether each one's ``span`` bytes start
+    elsewhere too, and the indices of the first starts of the distinct strings, in the strings' order."""
     counts = np.maximum(0, np.diff(bounds) - span + 1)
     owner = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = bounds[:-1][owner] + inside
     if not len(starts):
-        return starts, owner, np.zeros(0, bool)
+        return starts, owner, np.zeros(0, bool), starts
     ordered = sorted_starts(text, starts, span)
     lane = owner * (int(inside.max()) // LANE + 1) + inside // LANE
-    common = kasai(text, starts, ordered, lane, span)
     full = np.zeros(len(text), bool)
-    full[starts] = common >= span
-    twice = full[ordered]
-    twice[:-1] |= full[ordered[1:]]
-    out = np.zeros(len(text), bool)
-    out[ordered] = twice
-    return starts, owner, out[starts]
+    full[starts] = kasai(text, starts, ordered, lane, span) >= span
+    equal = full[ordered]  # to the one before
+    twice = np.zeros(len(text), bool)
+    twice[ordered[equal]] = True
+    twice[ordered[:-1][equal[1:]]] = True
+    return starts, owner, twice[starts], np.searchsorted(starts, ordered[~equal])
 
 
 def runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of set flags with one owner."""
     at = np.flatnonzero(flags)
-    if not len(at):
-        return at, at
-    new = np.append(True, (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]]))
-    return at[new], at[np.append(new[1:], True)]
+    first, last = first_and_last(at - np.arange(len(at)), owner[at])
+    return at[first], at[last]
 
 
 def shard_repeats(shards: DataFrame, span: int) -> DataFrame:
-    """(h, c, a, b, k1, k2) from rows sorted by (h, sub): runs of starts a..b of a context that repeat within its
-    shard (k1, k2 null), and, where the anchor has several shards, each start that doesn't, with two hashes of
-    its bytes, and one for each string that does, so that other shards can find it."""
+    """(c1, c2, a, b, k, s) from rows sorted by (k, sub): runs of starts a..b of a context that repeat within its
+    shard (k and s null), and, of the shards of a key that has several, the distinct strings s in order, each
+    with the first start that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in whole_groups(batches, ["h", "sub"]):
+        for table, group in whole_groups(batches, ["k", "sub"]):
+            cut = table.column("n_sub").to_numpy() > 1
+            # a part alone with its key can only repeat within itself
+            table = table.filter(pa.array(cut | (np.bincount(group)[group] > 1) | (table.column("m").to_numpy() > 1)))
+            if not table.num_rows:
+                continue
             raw, offs = text_block(table.column("data"))
-            h, c, cut = (table.column(k).to_numpy() for k in ("h", "c", "n_sub"))
-            edge = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-            at = 0
-            while at < len(edge) - 1:  # as many whole shards as may be sorted at once, one at least
-                to = max(at + 1, int(np.searchsorted(offs[edge], offs[edge[at]] + SORT_BYTES, "right")) - 1)
-                lo, hi = edge[at], edge[min(to, len(edge) - 1)]
-                at = to
+            k, sub, c1, c2, at, cut = (table.column(x).to_numpy() for x in ("k", "sub", "c1", "c2", "at", "n_sub"))
+            edge = np.append(first_and_last(k, sub)[0], len(k))
+            x = 0
+            while x < len(edge) - 1:  # as many whole shards as may be sorted at once, one at least
+                y = min(len(edge) - 1, max(x + 1, int(np.searchsorted(offs[edge], offs[edge[x]] + SORT_BYTES, "right")) - 1))
+                lo, hi = edge[x], edge[y]
+                x = y
                 text, bounds = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                starts, owner, twice = repeated_starts(text, bounds, span)
-                a, b = runs(twice, owner)
-                cols = [h[lo:hi][owner[a]], c[lo:hi][owner[a]], starts[a] - bounds[owner[a]], starts[b] - bounds[owner[a]]]
-                keys = [np.zeros(len(a), np.int64)] * 2
-                null = np.ones(len(a), bool)
-                far = np.flatnonzero(cut[lo:hi][owner] > 1)
-                if len(far):
-                    k1 = span_hashes(prefix_sums(text), starts[far], starts[far] + span)
-                    k2 = mix(span_hashes(prefix_sums(text ^ 0x5A), starts[far], starts[far] + span))
-                    place = starts[far] - bounds[owner[far]]
-                    more = [h[lo:hi][owner[far]], c[lo:hi][owner[far]], place, place]
-                    cols = [np.concatenate([x, y]) for x, y in zip(cols, more)]
-                    keys = [np.concatenate([x, y.astype(np.int64)]) for x, y in zip(keys, (k1, k2))]
-                    null = np.append(null, np.zeros(len(far), bool))
-                arrays = [pa.array(cols[0]), pa.array(cols[1]), *[pa.array(x.astype(np.int32)) for x in cols[2:]], *[pa.array(x, mask=null) for x in keys]]
-                yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "a", "b", "k1", "k2"])
-
-    return shards.select("h", "sub", "n_sub", "c", "data").mapInArrow(run, "h long, c long, a int, b int, k1 long, k2 long")
+                starts, owner, twice, distinct = repeated_starts(text, bounds, span)
+
+                def rows(a: np.ndarray, b: np.ndarray, far: bool) -> pa.RecordBatch:
+                    own = owner[a]
+                    first, last = (at[lo:hi][own] + starts[i] - bounds[own] for i in (a, b))
+                    strings = [text[i : i + span].tobytes() for i in starts[a].tolist()] if far else [None] * len(a)
+                    keys = pa.array(k[lo:hi][own], mask=np.full(len(a), not far))
+                    cols = [pa.array(c1[lo:hi][own]), pa.array(c2[lo:hi][own]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), keys, pa.array(strings, pa.binary())]
+                    return pa.RecordBatch.from_arrays(cols, ["c1", "c2", "a", "b", "k", "s"])
+
+                yield rows(*runs(twice, owner), False)
+                distinct = distinct[cut[lo:hi][owner[distinct]] > 1]
+                for z in range(0, len(distinct), 4096):
+                    yield rows(distinct[z : z + 4096], distinct[z : z + 4096], True)
+
+    return shards.select("k", "sub", "n_sub", "c1", "c2", "at", "m", "data").mapInArrow(run, "c1 long, c2 long, a int, b int, k long, s binary")
 
 
 def without(docs: DataFrame, span: int) -> DataFrame:
@@ -264,7 +283,7 @@ def without(docs: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             raw, offs = text_block(batch.column("text"))
             found = batch.column("found")
-            for lo, hi in slices(offs, 16 << 20):
+            for lo, hi in slices(offs, 4 << 20):
                 removed, spans, kept = [], [], []
                 for i in range(lo, hi):
                     own = raw[offs[i] : offs[i + 1]]
@@ -286,7 +305,7 @@ def without(docs: DataFrame, span: int) -> DataFrame:
     return docs.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, mark: int = MARK, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, mark: int = MARK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each document; ``kept`` is what is left of its UTF-8 bytes,
     which may cut a character in two.
 
@@ -299,27 +318,26 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, mark: int = MARK, shard_co
     # contexts are computed twice rather than stored: they are many, and most stand alone
     hot = materialise(all_contexts(docs, span, mark).groupBy("h").agg(F.sum("m").alias("s")).filter("s > 1").select("h"), "hot-anchors")
     places = materialise(all_contexts(docs, span, mark).join(hot.hint("merge"), "h"), "hot-contexts")
-    kinds = materialise(places.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "context-kinds")
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("copies").alias("most"))
+    kinds = materialise(places.groupBy("h", "c1", "c2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "context-kinds")
     # an anchor with one kind of context that occurs twice is done: all of its starts repeat
-    groups = materialise(groups.filter("kinds > 1 or most = 1").select("h", F.ceil(F.col("kinds") / shard_contexts).cast("int").alias("n_sub")), "open-anchors")
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).filter("kinds > 1 or most = 1").select("h")
     wanted = kinds.join(groups.hint("merge"), "h")
-    chosen = places.select("h", "c", "doc_id", "lo", "n").join(wanted.select("h", "c", "doc_id").hint("merge"), ["h", "c", "doc_id"])
-    chosen = chosen.groupBy("h", "c", "doc_id").agg(F.min("lo").alias("lo"), F.max("n").alias("n"))
-    chosen = materialise(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "lo", "n")).alias("wanted")), "wanted-contexts")
-    data = context_bytes(docs.join(chosen.hint("merge"), "doc_id"), span)
-    shards = data.join(groups.hint("merge"), "h").withColumn("sub", F.pmod(F.col("c"), F.col("n_sub")).cast("int"))
-    found = materialise(shard_repeats(shards.repartition("h", "sub").sortWithinPartitions("h", "sub"), span), "shard-repeats")
-    inner = found.filter("k1 is null").select("h", "c", "a", "b")
-    # starts of anchors with several shards: strings that more than one start has, over all shards
-    far = found.filter("k1 is not null")
-    shared = materialise(far.groupBy("h", "k1", "k2").count().filter("count > 1").select("h", "k1", "k2"), "merged-shards")
-    outer = far.join(shared.hint("merge"), ["h", "k1", "k2"]).select("h", "c", "a", "b")
-    known = inner.unionByName(outer).groupBy("h", "c").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    chosen = places.select("c1", "c2", "doc_id", "lo", "n").join(wanted.select("c1", "c2", "doc_id").hint("merge"), ["c1", "c2", "doc_id"])
+    chosen = chosen.groupBy("c1", "c2", "doc_id").agg(F.min("lo").alias("lo"), F.max("n").alias("n"))
+    chosen = materialise(chosen.groupBy("doc_id").agg(F.collect_list(F.struct("c1", "c2", "lo", "n")).alias("wanted")), "wanted-contexts")
+    parts = materialise(context_parts(docs.join(chosen.hint("merge"), "doc_id"), span, mark), "context-parts")
+    cut = parts.groupBy("k").agg(F.ceil(F.sum(F.length("data")) / shard_bytes).cast("int").alias("n_sub")).filter("n_sub > 1")
+    cut = materialise(cut, "cut-keys")  # one row for each ``shard_bytes`` of parts at most; Spark broadcasts it if it is small
+    shards = parts.join(cut, "k", "left").withColumn("n_sub", F.coalesce("n_sub", F.lit(1))).withColumn("sub", F.pmod(F.col("c1"), F.col("n_sub")).cast("int"))
+    found = materialise(shard_repeats(shards.repartition("k", "sub").sortWithinPartitions("k", "sub"), span), "shard-repeats")
+    # strings of keys with several shards: equal ones are neighbours in their range
+    far = found.filter("s is not null").repartitionByRange("k", "s").withColumn("n", F.count("*").over(Window.partitionBy("k", "s")))
+    runs_ = found.filter("s is null").select("c1", "c2", "a", "b").unionByName(far.filter("n > 1").select("c1", "c2", "a", "b"))
+    known = runs_.groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     # contexts with copies repeat as wholes
-    verdicts = kinds.select("h", "c", (F.col("copies") > 1).alias("all")).join(known.hint("merge"), ["h", "c"], "left").filter("all or runs is not null")
+    verdicts = kinds.select("c1", "c2", (F.col("copies") > 1).alias("all")).join(known.hint("merge"), ["c1", "c2"], "left").filter("all or runs is not null")
     verdicts = materialise(verdicts, "verdicts")
-    marked = places.join(verdicts.hint("merge"), ["h", "c"])
+    marked = places.join(verdicts.hint("merge"), ["c1", "c2"])
     whole = F.array(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b")))
     some = F.transform("runs", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo")).alias("b")))
     marked = marked.select("doc_id", F.when(F.col("all"), whole).otherwise(some).alias("found"))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ligature.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup
+from ligature.llm import common, exact_dedup, jaccard_join, line_dedup, suffix_dedup
 
 from .fixtures import SCHEMA, WORD, docs, empty, rows
 
@@ -106,11 +106,11 @@ def test_pruning_keeps_what_can_reach_the_threshold():
     assert not jaccard_join.survive(signs, np.array([0]), np.array([1]), least)[0]
 
 
-@pytest.mark.parametrize("shard_contexts", [4096, 2])
-def test_suffix_dedup_by_brute_force(spark, shard_contexts):
+@pytest.mark.parametrize("shard_bytes", [1 << 18, 500])
+def test_suffix_dedup_by_brute_force(spark, shard_bytes):
     texts = {i: (t or "").encode() for i, t, *_ in rows()}
     count = Counter(b[k : k + 200] for b in texts.values() for k in range(len(b) - 199))
-    out = got(suffix_dedup.remove_repeats(docs(spark, clash=True), shard_contexts=shard_contexts))
+    out = got(suffix_dedup.remove_repeats(docs(spark, clash=True), shard_bytes=shard_bytes))
     assert len(out) == len(texts)
     for i, b in texts.items():
         gone = np.zeros(len(b), bool)
@@ -122,6 +122,65 @@ def test_suffix_dedup_by_brute_force(spark, shard_contexts):
         assert (out[i]["n_bytes"], out[i]["n_removed"], out[i]["n_spans"], bytes(out[i]["kept"])) == (len(b), int(gone.sum()), spans, kept)
 
 
+def brute_repeats(texts):
+    count = Counter(b[k : k + 200] for b in texts.values() for k in range(len(b) - 199))
+    out = {}
+    for i, b in texts.items():
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        out[i] = np.frombuffer(b, np.uint8)[~gone].tobytes()
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 18, 2000])
+def test_suffix_dedup_of_one_hot_line(spark, shard_bytes):
+    """A line of 190 bytes in many texts repeats only with what stands around it; periods repeat within a text."""
+    rnd = np.random.RandomState(5)
+    word = lambda n: "".join(chr(97 + c) for c in rnd.randint(0, 26, n))
+    line, ends = word(190), [word(12) for _ in range(5)]
+    texts = {i: (word(150) + ends[i % 5][: i % 13] + line + ends[(i // 3) % 5] + word(150)).encode() for i in range(160)}
+    texts |= {500: ("ab" * 400).encode(), 501: ("x" + "-" * 900 + word(300)).encode(), 502: ("-" * 260 + word(300)).encode(), 503: (word(210) + "q").encode()}
+    df = spark.createDataFrame([(i, b.decode(), "en", "s", 0) for i, b in texts.items()], SCHEMA).repartition(4)
+    out = got(suffix_dedup.remove_repeats(df, shard_bytes=shard_bytes))
+    want = brute_repeats(texts)
+    assert {i: bytes(r["kept"]) for i, r in out.items()} == want and any(len(want[i]) < len(texts[i]) for i in range(160)) and want[503] == texts[503]
+
+
+def test_suffix_dedup_cuts_long_texts_into_segments(spark, monkeypatch):
+    rnd = np.random.RandomState(6)
+    shared = "".join(chr(97 + c) for c in rnd.randint(0, 26, 900))
+    long = "".join(chr(97 + c) for c in rnd.randint(0, 26, 9000))
+    texts = {1: (long[:3000] + shared + long[3000:]).encode(), 2: (shared + long[:700]).encode(), 3: ("漢字" * 1500 + shared[100:]).encode()}
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1024)
+    pieces = []
+    for b in texts.values():
+        for a, b2, start, end in suffix_dedup.segments(np.array([0, len(b)]), 200):
+            raw = np.frombuffer(b, np.uint8)[start:end]
+            *_, lo, n, _ = suffix_dedup.contexts(raw, np.array([0, len(raw)]), 200, 73)
+            pieces.append((lo + start, n))
+        assert sum(int(n.sum()) for _, n in pieces) == len(b) - 199
+        pieces.clear()
+    df = spark.createDataFrame([(i, b.decode(), "en", "s", 0) for i, b in texts.items()], SCHEMA)
+    assert {i: bytes(r["kept"]) for i, r in got(suffix_dedup.remove_repeats(df)).items()} == brute_repeats(texts)
+
+
+def test_spans_of_words_that_defeat_polynomials_differ():
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 for every odd base."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(word.encode(), np.uint8)
+    for size in (1024, 2048):
+        a, b = common.span_hashes(data, np.array([0, size]), np.array([size, 2 * size]))
+        assert a != b
+    sizes = np.array([0, 1, 7, 8, 9, 255, 256, 257, 300])
+    assert len(set(common.span_hashes(data, np.zeros(9, np.int64), sizes).tolist())) == 9
+    one, two = jaccard_join.shingle_sets(data[:2048], np.array([0, 1024, 2048]))
+    assert len(one) == len(two) == 1 and one[0] != two[0]
+
+
 def test_suffix_order_and_common_prefixes():
     rnd = np.random.RandomState(3)
     text = np.concatenate([rnd.randint(97, 99, 900), np.tile(rnd.randint(97, 100, 7), 90), rnd.randint(97, 99, 900)]).astype(np.uint8)
