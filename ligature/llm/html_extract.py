@@ -157,7 +157,11 @@ def parse(html: str) -> Lines:
 
 
 def dense(lines: list[Line]) -> np.ndarray:
-    """Whether each line's smoothed text-to-tag ratio is above the threshold between sparse and dense lines."""
+    """Whether each line's smoothed text-to-tag ratio is above the threshold between sparse and dense lines.
+
+    A line's ratio is its text outside links over the tags since the line before it. A page whose text is all in
+    links, or out, has no dense line and so no article.
+    """
     ratio = np.array([0.0 if x.aside else (len(x.text) - x.linked) / max(1, x.tags) for x in lines])
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     smooth = np.convolve(ratio, kernel / kernel.sum(), "full")[RADIUS : RADIUS + len(ratio)]
@@ -169,7 +173,7 @@ def dense(lines: list[Line]) -> np.ndarray:
         if new == (low, high):
             break
         low, high = new
-    return (smooth >= min((low + high) / 2, smooth.std() or 0.0)) & np.array([not x.aside for x in lines])
+    return (smooth > 0) & (smooth >= min((low + high) / 2, smooth.std() or 0.0)) & np.array([not x.aside for x in lines])
 
 
 def settle(page: Lines) -> None:
@@ -213,7 +217,7 @@ def main_text(html: str | None) -> str:
         return ""
     chosen = dense(lines)
     if not chosen.any():
-        chosen = np.array([not x.aside for x in lines])
+        return ""
     weight: dict[int, int] = {}
     for x, is_dense in zip(lines, chosen):
         if is_dense:

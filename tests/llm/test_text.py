@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -92,6 +94,75 @@ def test_html_names_of_wrappers_are_evidence_only(wrapper):
         assert html_extract.main_text(f"<body><{wrapper}><div>{STORY}</div><div class=sidebar><p>Side</p></div></{tag}>") == TOLD
 
 
+def brute_dense(lines):
+    """Ratio, Gaussian and two means, number by number."""
+    import math
+
+    ratio = [0.0 if x.aside else (len(x.text) - x.linked) / max(1, x.tags) for x in lines]
+    weight = {d: math.exp(-0.5 * (d / html_extract.SIGMA) ** 2) for d in range(-html_extract.RADIUS, html_extract.RADIUS + 1)}
+    smooth = [sum(w * ratio[i + d] for d, w in weight.items() if 0 <= i + d < len(ratio)) / sum(weight.values()) for i in range(len(ratio))]
+    low, high = min(smooth), max(smooth)
+    for _ in range(20):
+        near = [x for x in smooth if x < (low + high) / 2]
+        far = [x for x in smooth if x >= (low + high) / 2]
+        low, high = (sum(near) / len(near) if near else low), sum(far) / len(far)
+    mean = sum(smooth) / len(smooth)
+    edge = min((low + high) / 2, (sum((x - mean) ** 2 for x in smooth) / len(smooth)) ** 0.5)
+    return [x > 0 and x >= edge - 1e-9 and not line.aside for x, line in zip(smooth, lines)]
+
+
+def brute_text(html):
+    """The article of a page without doubted names: of all elements, the innermost article or main that holds 0.6 of the
+    dense text; without one the last element on the way down that does."""
+    page = html_extract.parse(html or "")
+    if not page.lines:
+        return ""
+    flags = brute_dense(page.lines)
+    total = sum(len(x.text) for x, f in zip(page.lines, flags) if f)
+    if not total:
+        return ""
+    held = {n: sum(len(x.text) for x, f in zip(page.lines, flags) if f and n in x.path) for n in page.kinds}
+    enough = [n for n in page.kinds if held[n] >= 0.6 * total]
+    marked = [n for n in enough if page.kinds[n] in ("article", "main")]
+    region = max(marked) if marked else None
+    path = sorted(enough)  # elements are numbered as they open, so these, each in the one before, are the way down
+    for n in path if region is None else []:
+        if page.kinds[n] in ("tr", "td", "li"):
+            break
+        region = n
+    kept = [x for x in page.lines if not x.aside and (region is None or region in x.path)]
+    return "\n".join(x.text for x in kept if marked or x.linked < 0.8 * len(x.text))
+
+
+def test_html_agrees_with_brute_force_on_real_pages(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    plain = [re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", h) for h in pages]
+    bare = [re.sub(r"<(/?)(article|main|nav|footer)\b[^>]*>", r"<\1div>", h) for h in plain]
+    for html in plain + bare:
+        page = html_extract.parse(html)
+        assert not page.doubted and html_extract.dense(page.lines).tolist() == brute_dense(page.lines)
+        assert html_extract.main_text(html) == brute_text(html)
+
+
+def test_html_density_decides_without_names(monkeypatch):
+    """No article, no main, no class: links and short lines are half of the page."""
+    rnd = random.Random(9)
+    word = lambda n: " ".join("".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    pages, want = [], []
+    for k in range(40):
+        story = [word(rnd.randint(25, 60)) for _ in range(rnd.randint(4, 9))]
+        story.insert(2, word(3))  # a short paragraph within the story stays
+        links = "".join(f"<li><a href=/{j}>{word(5)}</a></li>" for j in range(40))
+        bits = "".join(f"<div><b>{word(1)}</b><i>{word(1)}</i></div>" for _ in range(60))
+        pages.append(f"<body><div><ul>{links}</ul></div><div>{bits}</div><div>{''.join(f'<p>{p}</p>' for p in story)}</div><div>{bits}</div><div><ul>{links}</ul></div>")
+        want.append("\n".join(story))
+    assert [html_extract.main_text(p) for p in pages] == want
+    monkeypatch.setattr(html_extract, "dense", lambda lines: np.array([not x.aside for x in lines]))
+    assert sum(html_extract.main_text(p) == w for p, w in zip(pages, want)) <= 4
+    monkeypatch.setattr(html_extract, "dense", lambda lines: np.zeros(len(lines), bool))
+    assert not any(html_extract.main_text(p) for p in pages)
+
+
 def test_html_odd_pages(spark):
     pages = [(0, "u", None), (1, None, ""), (2, "u", "<p"), (3, "u", "plain"), (4, "u", "<nav>only</nav>"), (5, "u", "<p>" * 3000 + "deep"), (6, "u", "<article><p>" + "long " * 50000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
