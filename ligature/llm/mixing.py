@@ -4,17 +4,23 @@ Only DataFrame functions. Each source's words, in a random order of its document
 of equal size; a source that has to be repeated starts its line again in a new order. The tree deals the
 sources' block quotas to the output shards: a node gives its left child as many blocks as that child's shards
 hold, drawn without replacement, so that each shard's mix is a fair draw and all quotas stay exact. A shard
-then owns the next blocks of each source's line (disjoint, permuted) and orders what it has by a local hash.
+then draws so many blocks of each source's line, disjoint and permuted, and orders what it has by a local hash.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise
 
 SEED = 20240501
+#: Words of a shard, blocks of a shard, and sources that one row of the tree may hold.
+SHARD_WORDS, SHARD_BLOCKS, GROUP_SOURCES = 1 << 27, 256, 512
+#: Primes below 2**31, above any number of blocks of a source.
+PRIMES = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549]
 
 
 def word_count(text: Column) -> Column:
@@ -47,41 +53,101 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return per.withColumn("final", final["level"]).select("source", "source_size", "n_docs", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def split_quotas(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
-    """(source_key, shard, first, n): ``quotas`` (source_key, n_blocks) dealt to 2**depth shards whose totals differ
-    by one at most.
+def hypergeometric(marked: Column, blocks: Column, places: Column, u: Column) -> Column:
+    """How many of ``places`` places, filled without replacement from ``blocks`` blocks, get one of the ``marked`` ones.
 
-    ``first`` is the number of blocks of that source in the shards before. One row per node holds the counts
-    that it has to split; ticket by ticket, a block goes left with the chance of places left over blocks left,
-    which draws the multivariate hypergeometric distribution exactly.
+    By inversion from the mode: weights next to it follow from ratios, over 12 standard deviations and 8 on both sides
+    (what is beyond is below the precision of a double), so a draw takes steps in proportion to the root of the counts.
     """
-    nodes = quotas.filter("n_blocks > 0").groupBy().agg(F.sort_array(F.collect_list(F.struct("source_key", F.col("n_blocks").cast("long").alias("n")))).alias("q"))
-    nodes = nodes.filter(F.size("q") > 0).select(F.lit(0).cast("long").alias("node"), "q", F.lit(1 << depth).cast("long").alias("shards"))
-    for _ in range(depth):
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        nodes = nodes.withColumn("blocks", total)
-        # the left child's places: its share of the blocks, larger by one where they don't divide
-        nodes = nodes.withColumn("places", F.ceil(F.col("blocks") / 2).cast("long"))
-
-        def ticket(acc: Column, x: Column, j: Column) -> Column:
-            goes = uniform(F.lit(seed), F.col("node"), F.col("shards"), x["source_key"], j) * acc["blocks"] < acc["places"]
-            return F.struct((acc["blocks"] - 1).alias("blocks"), (acc["places"] - goes.cast("long")).alias("places"), (acc["left"] + goes.cast("long")).alias("left"))
+    one = F.lit(1).cast("long")
+    mode = F.floor((places + 1) * (marked + 1) / (blocks + 2)).cast("long")
+    spread = F.sqrt(places / blocks * marked * (1 - marked / blocks) * (blocks - places) / F.greatest(one, blocks - 1))
+    reach = F.ceil(spread * 12).cast("long") + 8
+    low, high = F.greatest(mode - reach, F.lit(0).cast("long"), places - blocks + marked), F.least(mode + reach, marked, places)
+    rise = lambda k: (marked - k + 1) * (places - k + 1) / (k * (blocks - marked - places + k)).cast("double")  # noqa: E731  k against k - 1
+    steps = lambda n: F.when(n > 0, F.sequence(one, n)).otherwise(F.array().cast("array<bigint>"))
+
+    def side(up: bool, goal: Column | None) -> Column:
+        """Sum of the weights on one side of the mode, or the number of steps after which they exceed ``goal``."""
+        ratio = lambda j: rise(mode + j) if up else 1 / rise(mode - j + 1)
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+
+        def step(x: Column, j: Column) -> Column:
+            w = x["w"] * ratio(j)
+            return F.struct(w.alias("w"), (x["sum"] + w).alias("sum"), (x["n"] + (x["sum"] <= goal).cast("long") if goal is not None else x["n"]).alias("n"))
+
+        return F.aggregate(steps(high - mode if up else mode - low), start, step, lambda x: x["n" if goal is not None else "sum"])
+
+    # as arrays of one, so that each sum is made once
+    above, below = F.array(side(True, None)), F.array(side(False, None))
+    drawn = F.transform(above, lambda a: F.transform(below, lambda b: F.struct(a.alias("a"), (u * (1 + a + b)).alias("x"))))
+    number = F.transform(F.flatten(drawn), lambda d: F.when(d["x"] < 1, mode).when(d["x"] < 1 + d["a"], mode + side(True, d["x"] - 1)).otherwise(mode - side(False, d["x"] - 1 - d["a"])))
+    return F.element_at(number, 1)
+
+
+def split_groups(quotas: DataFrame, places: DataFrame, depth: int, seed: int) -> DataFrame:
+    """(group, key, shard, n): ``quotas`` (group, key, n) dealt to ``places`` (group, places of each of 2**depth shards).
+
+    One row per group and node of the tree. The left child's places are its shards'; source by source, a hypergeometric
+    draw says how many of them the source fills, which is the multivariate draw, and the right child has the rest.
+    """
+    listed = quotas.filter("n > 0").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("key", F.col("n").cast("long").alias("n")))).alias("q"))
+    nodes = listed.join(places, "group").select("group", F.lit(0).cast("long").alias("node"), "q", "places")
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    for level in range(depth):
+        half = 1 << (depth - level - 1)
+        nodes = nodes.withColumn("blocks", total("places")).withColumn("room", total(F.slice("places", 1, half)))
 
         def source(acc: Column, x: Column) -> Column:
-            start = F.struct(acc["blocks"].alias("blocks"), acc["places"].alias("places"), F.lit(0).cast("long").alias("left"))
-            done = F.aggregate(F.sequence(F.lit(1).cast("long"), x["n"]), start, lambda a, j: ticket(a, x, j))
-            # as an array of one, so that the draws are made once and not for each field
-            return F.element_at(F.transform(F.array(done), lambda d: F.struct(d["blocks"].alias("blocks"), d["places"].alias("places"), F.concat(acc["out"], F.array(F.struct(x["source_key"].alias("source_key"), x["n"].alias("n"), d["left"].alias("left")))).alias("out"))), 1)
-
-        empty = F.array().cast("array<struct<source_key:bigint,n:bigint,left:bigint>>")
-        drawn = F.aggregate("q", F.struct(F.col("blocks").alias("blocks"), F.col("places").alias("places"), empty.alias("out")), source)
-        nodes = nodes.select("node", (F.col("shards") / 2).cast("long").alias("shards"), drawn["out"].alias("out"))
-        child = lambda right: F.filter(F.transform("out", lambda x: F.struct(x["source_key"].alias("source_key"), (x["n"] - x["left"] if right else x["left"]).alias("n"))), lambda x: x["n"] > 0)
-        nodes = nodes.select("shards", F.posexplode(F.array(*[F.struct((F.col("node") * 2 + r).alias("node"), child(bool(r)).alias("q")) for r in (0, 1)]))).select("col.node", "col.q", "shards")
-        nodes = materialise(nodes.filter(F.size("q") > 0), "mix-nodes")  # 2**level rows
-    dealt = nodes.select(F.col("node").alias("shard"), F.inline("q"))
-    before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.select("source_key", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
+            u = uniform(F.lit(seed), F.lit(level), F.col("group"), F.col("node"), x["key"])
+            left = F.array(hypergeometric(x["n"], acc["blocks"], acc["room"], u))
+            grown = F.transform(left, lambda n: F.struct((acc["blocks"] - x["n"]).alias("blocks"), (acc["room"] - n).alias("room"), F.concat(acc["out"], F.array(F.struct(x["key"].alias("key"), x["n"].alias("n"), n.alias("left")))).alias("out")))
+            return F.element_at(grown, 1)
+
+        empty = F.array().cast("array<struct<key:bigint,n:bigint,left:bigint>>")
+        drawn = F.aggregate("q", F.struct(F.col("blocks").alias("blocks"), F.col("room").alias("room"), empty.alias("out")), source, lambda x: x["out"])
+        nodes = nodes.select("group", "node", "places", drawn.alias("out"))
+        child = lambda right: F.filter(F.transform("out", lambda x: F.struct(x["key"].alias("key"), (x["n"] - x["left"] if right else x["left"]).alias("n"))), lambda x: x["n"] > 0)
+        children = F.array(*[F.struct((F.col("node") * 2 + r).alias("node"), child(bool(r)).alias("q"), F.slice("places", 1 + r * half, half).alias("places")) for r in (0, 1)])
+        nodes = nodes.select("group", F.inline(children))
+        nodes = materialise(nodes.filter(F.size("q") > 0), "mix-nodes")  # 2**level rows a group at most
+    return nodes.select("group", F.col("node").alias("shard"), F.inline("q")).select("group", "key", "shard", "n")
+
+
+def split_quotas(quotas: DataFrame, depth: int, seed: int = SEED, group_sources: int = GROUP_SOURCES) -> DataFrame:
+    """(source_key, shard, first, n): ``quotas`` (source_key, n_blocks) dealt to 2**depth shards whose totals differ
+    by one at most, by a multivariate hypergeometric draw.
+
+    ``first`` is the number of blocks of that source in the shards before. More than ``group_sources`` sources are
+    dealt in groups: the groups' totals first, then each group's places among its sources, so no row holds all sources.
+    """
+    own = quotas.filter("n_blocks > 0").select(F.col("source_key").alias("key"), F.col("n_blocks").cast("long").alias("n"))
+    count, total = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ends = lambda i: F.floor(i * F.lit(total) / F.lit(1 << depth)).cast("long")
+    even = F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << depth) - 1).cast("long")), lambda i: ends(i + 1) - ends(i))
+    places = quotas.sparkSession.range(1).select(F.lit(0).cast("long").alias("group"), even.alias("places"))
+    levels = [1]  # groups of each level, from the top
+    while count > levels[-1] * group_sources:
+        levels.append(levels[-1] * group_sources)
+    group = lambda n: F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(n)).cast("long")  # noqa: E731  a group's number modulo a smaller level is its parent's
+    for upper, lower in zip(levels, levels[1:]):
+        per = own.groupBy(group(lower).alias("key")).agg(F.sum("n").alias("n"))
+        dealt = split_groups(per.select(F.pmod("key", F.lit(upper)).alias("group"), "key", "n"), places, depth, seed)
+        counts = dealt.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("m"))
+        shards = F.sequence(F.lit(0).cast("long"), F.lit((1 << depth) - 1).cast("long"))
+        places = materialise(counts.select(F.col("key").alias("group"), F.transform(shards, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("places")), "mix-places")
+    dealt = split_groups(own.select(group(levels[-1]).alias("group"), "key", "n"), places, depth, seed)
+    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.select(F.col("key").alias("source_key"), "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
+
+
+def drawn_blocks(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
+    """(source_key, block, shard): each shard draws as many blocks of a source as the tree says, the next ones in an
+    order that permutes them: block = rank * prime + shift modulo their number, for a prime above that number."""
+    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed), "source_key"), F.lit(len(PRIMES))) + 1).cast("int"))
+    dealt = split_quotas(quotas, depth, seed).join(quotas.select("source_key", "n_blocks"), "source_key")
+    ranks = dealt.withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    return ranks.select("source_key", F.pmod(F.col("rank") * prime + F.pmod(F.xxhash64(F.lit(seed), F.lit("shift"), "source_key"), F.col("n_blocks")), F.col("n_blocks")).alias("block"), "shard")
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -96,14 +162,14 @@ def numbered(rows: DataFrame) -> DataFrame:
     return found.withColumn("repeat", F.col("inside") + F.coalesce("offset", F.lit(0))).drop("part", "inside", "same_id", "same_part", "offset")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, blocks: int = 2048, depth: int = 3, bucket_docs: int = 4096, whole_documents: bool = False, one_row: bool = False, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, blocks: int | None = None, depth: int | None = None, bucket_docs: int = 4096, whole_documents: bool = False, one_row: bool = False, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Deal ``docs`` (doc_id, source, text) to 2**depth shards.
 
     Returns the documents (row, doc_id, source, size, source_size, target) and the pieces of the mix: (row, doc_id,
     copy, shard, block, first_word, words, local_order), where row is a key of the input's rows, copy counts the passes over a source, first_word is
     the place in the document from which ``words`` words are taken, and rows sorted by (shard, local_order)
-    are the shuffled shard. ``blocks``: of the whole mix; a block's size follows the corpus, so that tree and
-    tables stay as small. With ``whole_documents`` a document's copy goes where its middle word goes, undivided.
+    are the shuffled shard. Only blocks that the tree deals to a shard are taken. There are eight shards at least, and
+    so many that one has SHARD_WORDS words at most, of SHARD_BLOCKS ``blocks`` each. With ``whole_documents`` a document's copy goes where its middle word goes, undivided.
 
     Rows that repeat a doc_id (with the same text) have pieces each of its own; with ``one_row``, one row of each doc_id
     is taken and the others are left out. Null text has size 0; documents without words and empty sources get no pieces; the null
@@ -114,7 +180,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     sizes = numbered(materialise(rows, "mix-rows"))
     sizes = materialise(sizes.filter("repeat = 0") if one_row else sizes, "mix-sizes")
     aims = materialise(targets(sizes, weights, share, most).withColumn("source_key", source_key), "mix-targets")
-    block_words = aims.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / F.lit(blocks))).cast("long")).first()[0] or 1
+    total = aims.agg(F.sum("target")).first()[0] or 0.0
+    depth = max(3, ceil(log2(max(1.0, total / SHARD_WORDS)))) if depth is None else depth
+    block_words = max(1, ceil(total / (SHARD_BLOCKS << depth if blocks is None else blocks)))
     aim = aims.select("source_key", "n_docs", "source_size", "target")  # a row a source: Spark broadcasts it if it is small
     # a random order of each source: hash buckets of bounded size, then the hash within; running sums in two steps
     placed = sizes.filter("size > 0").join(aim, "source_key").select("row", "doc_id", "repeat", "source_key", "size", "source_size", "target", "n_docs", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy")).filter(F.col("copy") * F.col("source_size") < F.col("target"))
@@ -128,8 +196,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(offsets, ["source_key", "copy", "bucket"])
     placed = placed.withColumn("start", F.col("offset") + F.col("inside")).withColumn("line", F.round("target").cast("long"))
     quota = aims.select("source_key", F.ceil(F.round("target") / block_words).cast("long").alias("n_blocks"))
-    shards = split_quotas(quota, depth, seed).withColumn("block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).select("source_key", "block", "shard")
-    shards = materialise(shards, "mix-shards")
+    shards = materialise(drawn_blocks(quota, depth, seed), "mix-shards")
     if whole_documents:
         middle = F.col("start") + F.floor(F.col("size") / 2)
         pieces = placed.filter(middle < F.col("line")).select("row", "doc_id", "repeat", "source_key", "copy", F.floor(middle / F.lit(block_words)).alias("block"), F.lit(0).cast("long").alias("first_word"), F.col("size").alias("words"))
@@ -139,7 +206,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
         cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.lit(block_words)), F.floor((F.col("end") - 1) / F.lit(block_words)))))
         low, high = F.greatest(F.col("start"), F.col("block") * F.lit(block_words)), F.least(F.col("end"), (F.col("block") + 1) * F.lit(block_words))
         pieces = cut.select("row", "doc_id", "repeat", "source_key", "copy", "block", (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
-    pieces = pieces.join(shards, ["source_key", "block"], "left")
+    pieces = pieces.join(shards, ["source_key", "block"])
     pieces = pieces.withColumn("local_order", F.xxhash64(F.lit(seed), "shard", "doc_id", "copy", "first_word", own)).drop("source_key", "repeat")
     per_doc = sizes.join(aim, "source_key").select("row", "doc_id", "source", "size", "source_size", "target")
     return per_doc, pieces
@@ -154,6 +221,10 @@ def write_mix(docs: DataFrame, pieces: DataFrame, path: str) -> None:
 
 
 def taken(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, shards) for each row: the words that the mix takes of it, and in
+    which shards, as (shard, words) in order."""
     per_doc, pieces = mix_sources(docs)
-    sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    return per_doc.join(sums, "row", "left").select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    by_shard = pieces.groupBy("row", "shard").agg(F.sum("words").alias("words"))
+    sums = by_shard.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards"))
+    out = per_doc.join(sums, "row", "left").select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
+    return out.withColumn("shards", F.coalesce("shards", F.array().cast("array<struct<shard:bigint,words:bigint>>")))

@@ -352,6 +352,61 @@ def test_splitting_tree_keeps_quotas(spark):
     assert all(0.6 < x < 0.87 for x in share)
 
 
+@pytest.mark.parametrize("case", [(300, 1000, 400), (5, 9, 4), (1, 50, 1), (40, 40, 13), (0, 7, 3), (700, 1000, 999)])
+def test_hypergeometric_draws(spark, case):
+    from math import comb
+
+    marked, blocks, places = case
+    n = 20_000
+    frame = spark.range(n).select(*[F.lit(x).cast("long").alias(c) for c, x in zip("mbp", case)], ((F.col("id") + 0.5) / n).alias("u"))
+    got = Counter(r[0] for r in frame.select(mixing.hypergeometric(F.col("m"), F.col("b"), F.col("p"), F.col("u"))).collect())
+    assert sum(got.values()) == n
+    for k in range(0, marked + 1):  # u goes over [0, 1) evenly, so counts are as exact as the grid
+        want = comb(marked, k) * comb(blocks - marked, places - k) / comb(blocks, places) if 0 <= places - k <= blocks - marked else 0.0
+        assert abs(got[k] - n * want) <= 2
+
+
+def test_splitting_tree_of_many_sources(spark):
+    """More sources than a row may hold go in groups; quotas and shards stay exact."""
+    quotas = spark.range(200).select(F.col("id").alias("source_key"), (F.col("id") % 7).alias("n_blocks"))
+    out = mixing.split_quotas(quotas, 3, group_sources=8).collect()
+    total, per = Counter(), Counter()
+    for r in sorted(out, key=lambda r: r["shard"]):
+        assert r["first"] == total[r["source_key"]]
+        total[r["source_key"]] += r["n"]
+        per[r["shard"]] += r["n"]
+    assert total == {k: k % 7 for k in range(200) if k % 7} and len(per) == 8 and max(per.values()) - min(per.values()) <= 1
+
+
+def test_blocks_are_drawn_once_and_permuted(spark):
+    quotas = spark.createDataFrame([(1, 700), (2, 31), (3, 1), (4, 0)], "source_key long, n_blocks long")
+    first, second = (mixing.drawn_blocks(quotas, 3, seed).collect() for seed in (1, 2))
+    for out in (first, second):
+        assert sorted((r["source_key"], r["block"]) for r in out) == [(s, b) for s, n in ((1, 700), (2, 31), (3, 1)) for b in range(n)]
+    assert {tuple(r) for r in first} != {tuple(r) for r in second}
+
+
+def test_mixing_takes_what_the_tree_deals(spark, monkeypatch):
+    df = docs(spark)
+    plain = {r["doc_id"]: r for r in mixing.taken(df).collect()}
+    assert all(sum(s["words"] for s in r["shards"]) == r["taken"] for r in plain.values())
+    assert len({s["shard"] for r in plain.values() for s in r["shards"]}) == 8
+    draw = mixing.drawn_blocks
+    monkeypatch.setattr(mixing, "drawn_blocks", lambda quotas, depth, seed: draw(quotas, depth, seed + 1))
+    other = {r["doc_id"]: r for r in mixing.taken(df).collect()}
+    assert any(plain[i]["shards"] != other[i]["shards"] for i in plain) and all(plain[i]["taken"] == other[i]["taken"] for i in plain)
+    monkeypatch.setattr(mixing, "drawn_blocks", lambda quotas, depth, seed: draw(quotas, depth, seed).filter("shard <> 3"))
+    fewer = {r["doc_id"]: r for r in mixing.taken(df).collect()}
+    assert sum(r["taken"] for r in fewer.values()) < sum(r["taken"] for r in plain.values())
+
+
+def test_mixing_scales_its_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    _, pieces = mixing.mix_sources(docs(spark))
+    sums = [r["sum"] for r in pieces.groupBy("shard").agg(F.sum("words").alias("sum")).collect()]
+    assert len(sums) > 8 and max(sums) <= 1.2 * 500
+
+
 def test_mixing_gives_repeated_rows_their_own_share(spark, tmp_path):
     data = rows(n=30)
     data += [data[0]] * 40 + [(None, "a b c", "en", "s1", 5)] * 3
