@@ -53,36 +53,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return per.withColumn("final", final["level"]).select("source", "source_size", "n_docs", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def hypergeometric(marked: Column, blocks: Column, places: Column, u: Column) -> Column:
-    """How many of ``places`` places, filled without replacement from ``blocks`` blocks, get one of the ``marked`` ones.
+def hypergeometric(marked: str, blocks: str, places: str, u: str) -> str:
+    """SQL of how many of ``places`` places, filled without replacement from ``blocks`` blocks, get one of the ``marked``
+    ones.
 
     By inversion from the mode: weights next to it follow from ratios, over 12 standard deviations and 8 on both sides
     (what is beyond is below the precision of a double), so a draw takes steps in proportion to the root of the counts.
     """
-    one = F.lit(1).cast("long")
-    mode = F.floor((places + 1) * (marked + 1) / (blocks + 2)).cast("long")
-    spread = F.sqrt(places / blocks * marked * (1 - marked / blocks) * (blocks - places) / F.greatest(one, blocks - 1))
-    reach = F.ceil(spread * 12).cast("long") + 8
-    low, high = F.greatest(mode - reach, F.lit(0).cast("long"), places - blocks + marked), F.least(mode + reach, marked, places)
-    rise = lambda k: (marked - k + 1) * (places - k + 1) / (k * (blocks - marked - places + k)).cast("double")  # noqa: E731  k against k - 1
-    steps = lambda n: F.when(n > 0, F.sequence(one, n)).otherwise(F.array().cast("array<bigint>"))
 
-    def side(up: bool, goal: Column | None) -> Column:
-        """Sum of the weights on one side of the mode, or the number of steps after which they exceed ``goal``."""
-        ratio = lambda j: rise(mode + j) if up else 1 / rise(mode - j + 1)
-        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+    def side(up: bool, result: str, goal: str = "0D") -> str:
+        """The sum of the weights on one side of the mode, or n, the steps after which they exceed ``goal``."""
+        far = "least(d.reach, least(d.marked, d.places) - d.mode)" if up else "least(d.reach, d.mode - greatest(0L, -d.rest))"
+        k = "(d.mode + j)" if up else "(d.mode - j + 1)"
+        rise, fall = f"(d.marked - {k} + 1) * (d.places - {k} + 1)", f"{k} * (d.rest + {k})"
+        w = f"(x.w * ({rise}) / ({fall}))" if up else f"(x.w * ({fall}) / ({rise}))"
+        step = f"named_struct('w', {w}, 'sum', x.sum + {w}, 'n', x.n + if(x.sum <= {goal}, 1L, 0L))"
+        return f"aggregate(if({far} > 0, sequence(1L, {far}), cast(array() as array<bigint>)), named_struct('w', 1D, 'sum', 0D, 'n', 0L), (x, j) -> {step}, x -> x.{result})"
 
-        def step(x: Column, j: Column) -> Column:
-            w = x["w"] * ratio(j)
-            return F.struct(w.alias("w"), (x["sum"] + w).alias("sum"), (x["n"] + (x["sum"] <= goal).cast("long") if goal is not None else x["n"]).alias("n"))
-
-        return F.aggregate(steps(high - mode if up else mode - low), start, step, lambda x: x["n" if goal is not None else "sum"])
-
-    # as arrays of one, so that each sum is made once
-    above, below = F.array(side(True, None)), F.array(side(False, None))
-    drawn = F.transform(above, lambda a: F.transform(below, lambda b: F.struct(a.alias("a"), (u * (1 + a + b)).alias("x"))))
-    number = F.transform(F.flatten(drawn), lambda d: F.when(d["x"] < 1, mode).when(d["x"] < 1 + d["a"], mode + side(True, d["x"] - 1)).otherwise(mode - side(False, d["x"] - 1 - d["a"])))
-    return F.element_at(number, 1)
+    spread = f"sqrt({places} / {blocks} * {marked} * (1 - {marked} / {blocks}) * ({blocks} - {places}) / greatest(1L, {blocks} - 1))"
+    mode = f"cast(floor(({places} + 1) * ({marked} + 1) / ({blocks} + 2)) as bigint)"
+    given = f"named_struct('mode', {mode}, 'reach', cast(ceil(12 * {spread}) as bigint) + 8, 'marked', {marked}, 'places', {places}, 'rest', {blocks} - {marked} - {places}, 'u', {u})"
+    sums = f"transform(array(named_struct('above', {side(True, 'sum')}, 'below', {side(False, 'sum')})), e -> named_struct('above', e.above, 'x', d.u * (1 + e.above + e.below)))"
+    find = f"case when f.x < 1 then d.mode when f.x < 1 + f.above then d.mode + {side(True, 'n', '(f.x - 1)')} else d.mode - {side(False, 'n', '(f.x - 1 - f.above)')} end"
+    # through arrays of one, so that each value is made once
+    return f"element_at(transform(array({given}), d -> element_at(transform({sums}, f -> {find}), 1)), 1)"
 
 
 def split_groups(quotas: DataFrame, places: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -93,23 +87,19 @@ def split_groups(quotas: DataFrame, places: DataFrame, depth: int, seed: int) ->
     """
     listed = quotas.filter("n > 0").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("key", F.col("n").cast("long").alias("n")))).alias("q"))
     nodes = listed.join(places, "group").select("group", F.lit(0).cast("long").alias("node"), "q", "places")
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    total = "aggregate({}, 0L, (a, y) -> a + y)".format
     for level in range(depth):
         half = 1 << (depth - level - 1)
-        nodes = nodes.withColumn("blocks", total("places")).withColumn("room", total(F.slice("places", 1, half)))
-
-        def source(acc: Column, x: Column) -> Column:
-            u = uniform(F.lit(seed), F.lit(level), F.col("group"), F.col("node"), x["key"])
-            left = F.array(hypergeometric(x["n"], acc["blocks"], acc["room"], u))
-            grown = F.transform(left, lambda n: F.struct((acc["blocks"] - x["n"]).alias("blocks"), (acc["room"] - n).alias("room"), F.concat(acc["out"], F.array(F.struct(x["key"].alias("key"), x["n"].alias("n"), n.alias("left")))).alias("out")))
-            return F.element_at(grown, 1)
-
-        empty = F.array().cast("array<struct<key:bigint,n:bigint,left:bigint>>")
-        drawn = F.aggregate("q", F.struct(F.col("blocks").alias("blocks"), F.col("room").alias("room"), empty.alias("out")), source, lambda x: x["out"])
-        nodes = nodes.select("group", "node", "places", drawn.alias("out"))
-        child = lambda right: F.filter(F.transform("out", lambda x: F.struct(x["key"].alias("key"), (x["n"] - x["left"] if right else x["left"]).alias("n"))), lambda x: x["n"] > 0)
-        children = F.array(*[F.struct((F.col("node") * 2 + r).alias("node"), child(bool(r)).alias("q"), F.slice("places", 1 + r * half, half).alias("places")) for r in (0, 1)])
-        nodes = nodes.select("group", F.inline(children))
+        nodes = nodes.selectExpr("*", f"{total('places')} as blocks", f"{total(f'slice(places, 1, {half})')} as room")
+        u = f"pmod(xxhash64({seed}L, {level}, group, node, x.key), {1 << 48}L) / {float(1 << 48)}D"
+        left = hypergeometric("x.n", "acc.blocks", "acc.room", u)
+        grown = "named_struct('blocks', acc.blocks - x.n, 'room', acc.room - got, 'out', concat(acc.out, array(named_struct('key', x.key, 'n', x.n, 'left', got))))"
+        start = "named_struct('blocks', blocks, 'room', room, 'out', cast(array() as array<struct<key:bigint,n:bigint,left:bigint>>))"
+        drawn = f"aggregate(q, {start}, (acc, x) -> element_at(transform(array({left}), got -> {grown}), 1), acc -> acc.out)"
+        nodes = nodes.selectExpr("group", "node", "places", f"{drawn} as out")
+        child = "filter(transform(out, x -> named_struct('key', x.key, 'n', {})), x -> x.n > 0)".format
+        children = [f"named_struct('node', node * 2 + {r}, 'q', {child('x.n - x.left' if r else 'x.left')}, 'places', slice(places, {1 + r * half}, {half}))" for r in (0, 1)]
+        nodes = nodes.selectExpr("group", f"inline(array({', '.join(children)}))")
         nodes = materialise(nodes.filter(F.size("q") > 0), "mix-nodes")  # 2**level rows a group at most
     return nodes.select("group", F.col("node").alias("shard"), F.inline("q")).select("group", "key", "shard", "n")
 

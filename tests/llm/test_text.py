@@ -359,7 +359,7 @@ def test_hypergeometric_draws(spark, case):
     marked, blocks, places = case
     n = 20_000
     frame = spark.range(n).select(*[F.lit(x).cast("long").alias(c) for c, x in zip("mbp", case)], ((F.col("id") + 0.5) / n).alias("u"))
-    got = Counter(r[0] for r in frame.select(mixing.hypergeometric(F.col("m"), F.col("b"), F.col("p"), F.col("u"))).collect())
+    got = Counter(r[0] for r in frame.selectExpr(mixing.hypergeometric("m", "b", "p", "u")).collect())
     assert sum(got.values()) == n
     for k in range(0, marked + 1):  # u goes over [0, 1) evenly, so counts are as exact as the grid
         want = comb(marked, k) * comb(blocks - marked, places - k) / comb(blocks, places) if 0 <= places - k <= blocks - marked else 0.0
