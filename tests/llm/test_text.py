@@ -267,6 +267,47 @@ def test_language_forward_sums_all_segmentations():
     assert abs((counts[: len(names), 1] * [len(x) for x in names]).sum() - 2 * 4) < 1e-6
 
 
+def test_language_sums_cut_neither_words_nor_pieces(monkeypatch):
+    """Words of 60 and 3,000 letters, pieces of 15, in blocks smaller than the pieces, against plain recursions."""
+    from functools import cache
+
+    long = "abbabaabbaababb"
+    names = sorted(["▁a", "a", "b", "ab", "▁", "bba", long, "▁" + long, long[::-1]])
+    probs = np.random.RandomState(1).dirichlet(np.ones(len(names)), 2).T
+    full, finder = language_id.table_of(probs), language_id.Pieces(names)
+    rnd = random.Random(3)
+    words = [long * 4, "".join(rnd.choice("ab") for _ in range(60)), "ab" + long + "c" + long[::-1], "a", long]
+
+    def brute(word, lang):
+        text = "▁" + word
+
+        @cache
+        def tail(at):
+            if at == len(text):
+                return 1.0
+            known = sum(probs[names.index(text[at : at + n]), lang] * tail(at + n) for n in range(1, 17) if text[at : at + n] in names and at + n <= len(text))
+            return known + (language_id.FLOOR * tail(at + 1) if text[at] not in names else 0.0)
+
+        return np.log(tail(0))
+
+    for block in (256, 7):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        got = language_id.word_scores(words, finder, full)
+        assert all(abs(got[i, lang] - brute(w, lang)) < 1e-6 for i, w in enumerate(words) for lang in range(2))
+        huge = language_id.word_scores([long * 200, long * 100], finder, full)
+        assert np.isfinite(huge).all() and (huge[0] < huge[1]).all()
+        counts = language_id.expected([*words, long * 200], np.array([2.0, 1, 3, 1, 1, 1]), np.array([0, 1, 0, 1, 1, 0]), finder, full)
+        spelled = np.array([len(n) for n in names])
+        assert abs((counts[: len(names), 0] * spelled).sum() - (2 * 61 + 3 * 33 + 3001)) < 1e-3 and abs(counts[-1, 0] - 3) < 1e-6
+        assert abs((counts[: len(names), 1] * spelled).sum() - (61 + 2 + 16)) < 1e-3
+
+
+def test_language_sample_is_of_each_language(spark):
+    data = [(i, "der die das und", "de", "s", 0) for i in range(3000)] + [(5000 + i, "le la les des", "fr", "s", 0) for i in range(3)]
+    langs, _, _ = language_id.learn(spark.createDataFrame(data, SCHEMA), PIECES, most=20, rounds=1)
+    assert langs == ["de", "fr"]
+
+
 def test_language_id_on_held_out_texts(spark):
     rnd = random.Random(1)
     kinds = {"en": "the and of that with this from have were which their would".split(), "de": "und der die das nicht mit auch eine werden schön über für".split(), "fr": "le la les des une que pour dans être avec où était".split()}
