@@ -1,33 +1,39 @@
 """Quality classifier: hierarchical empirical Bayes over documents, paths and hosts.
 
-A logistic regression on a few counted shares gives each document's own evidence. Hosts and the paths within
-them have quality rates of their own; the rates of sparse sites are shrunk, paths towards their host and hosts
-towards the whole corpus, by strengths estimated from how far the rates scatter. A document's posterior takes
-its site's rate, without its own part in it, as the prior.
+A logistic regression gives each document's own evidence, from the score of a hashed n-gram model and a few counted
+shares. Hosts and the paths within them have quality rates of their own; the rates of sparse sites are shrunk, paths
+towards their host and hosts towards the whole corpus, by strengths estimated from how far the rates scatter. A
+document's posterior takes its site's rate, without its own part in it, as the prior.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, slices, span_hashes, sums_by_row, text_block, word_spans
-from .quality_rules import base_counts, labelled, platt
+from .common import materialise, mix, ship, slices, span_hashes, sums_by_row, text_block, word_spans
+from .quality_rules import BITS, base_counts, bounded, dense, descend, labelled, platt, sparse
 
 CLASSES = [np.isin(np.arange(256), np.frombuffer(x, np.uint8)).astype(np.int64) for x in (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"!?", b"|", b"#*$%&<>@_~^=+{}[]\\/")]
 N_SHARES = 12
-#: The odds of a site count for so much at most, so that no site outvotes clear evidence.
-MOST_SHIFT = 2.0
 
 
-def shares(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+@dataclass
+class Evidence:
+    """Weights of the hashed n-grams, and of the shares and the n-gram score with the bias last; ``weights`` is None if
+    the labels were all alike."""
+
+    grams: np.ndarray
+    weights: np.ndarray | None
+
+
+def shares(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
     """Shares of kinds of characters, of repeated words and lines, and mean lengths: rows x N_SHARES."""
-    words = word_spans(raw, offs)
-    h = span_hashes(raw, *words[:2])
     base = base_counts(raw, offs, words, h)
     starts, ends, first = words
     n = np.maximum(1, base["n_words"])
@@ -41,20 +47,43 @@ def shares(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def with_shares(docs: DataFrame) -> DataFrame:
-    """All columns but text, and ``shares``."""
-    names = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text") + ", shares array<double>"
+def with_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, y, n, idx, share, shares) of labelled documents: their sparse n-grams and their shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = text_block(batch.column("text"))
-            for lo, hi in slices(offs):
-                x = shares(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * N_SHARES), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in names], lists], [*names, "shares"])
+            raw_all, offs_all = text_block(batch.column("text"))
+            for lo, hi in slices(offs_all):
+                raw, offs = raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
+                words = word_spans(raw, offs)
+                h = span_hashes(raw, *words[:2])
+                idx, share = sparse(raw, offs, words[2], h)
+                cols = [batch.column("doc_id")[lo:hi], batch.column("y")[lo:hi], pa.array([len(x) for x in idx], pa.int64()), pa.array(idx, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32())), pa.array(list(shares(raw, offs, words, h)), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "y", "n", "idx", "share", "shares"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, n long, idx array<int>, share array<float>, shares array<double>")
+
+
+def with_evidence(docs: DataFrame, model: Evidence) -> DataFrame:
+    """(doc_id, host, path, z): the log odds of good quality by the text alone."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            raw_all, offs_all = text_block(batch.column("text"))
+            for lo, hi in slices(offs_all):
+                raw, offs = raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
+                words = word_spans(raw, offs)
+                h = span_hashes(raw, *words[:2])
+                if own.weights is None:
+                    z = np.full(hi - lo, 30.0)
+                else:
+                    x = np.column_stack([shares(raw, offs, words, h), dense(own.grams, 0.0, raw, offs, words[2], h)])
+                    z = np.clip(x @ own.weights[:-1] + own.weights[-1], -30, 30)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in ("doc_id", "host", "path")], pa.array(z)], ["doc_id", "host", "path", "z"])
+
+    return docs.select("doc_id", "host", "path", "text").mapInArrow(run, "doc_id long, host string, path string, z double")
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -71,21 +100,38 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000) -> list[float] | None:
-    """Weights of the shares and the bias, calibrated, from at most ``most`` labelled documents; None if the
-    labels are all alike."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_entries: int = 1 << 23) -> Evidence:
+    """The n-grams' weights and, over their score and the shares, a calibrated regression, from at most ``most`` labelled
+    documents whose sparse features have ``most_entries`` entries in all.
+
+    Two n-gram models are fitted on the two halves of the sample, and the regression sees each document's score by the
+    model of the other half. The n-gram weights are the mean of the two.
+    """
     ship(docs.sparkSession)
-    rows = with_shares(labelled(docs, labels, most)).toArrow()
+    rows = bounded(materialise(with_features(labelled(docs, labels, most)), "quality-features"), most_entries).toArrow()
     y = rows.column("y").to_numpy().astype(float)
     if len(set(y)) < 2:
-        return None
-    x = np.array(rows.column("shares").combine_chunks().flatten()).reshape(len(y), N_SHARES)
+        return Evidence(np.zeros(1 << BITS, np.float32), None)
+    dealt = mix(rows.column("doc_id").to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1))
+    half, held = (dealt >> np.uint64(32)) % np.uint64(2) == 0, dealt % np.uint64(5) == 0
+    lists = rows.column("idx").combine_chunks()
+    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    idx, share = lists.flatten().to_numpy(), rows.column("share").combine_chunks().flatten().to_numpy()
+    grams, score = np.zeros(1 << BITS), np.zeros(len(y))
+    for own in (half, ~half):
+        if len(set(y[own])) == 2:
+            mine = own[row]
+            w, _ = descend(idx[mine], share[mine], (np.cumsum(own) - 1)[row[mine]], y[own], 60)
+            grams += w / 2
+            score[~own] = np.bincount(row, weights=w[idx] * share, minlength=len(y))[~own]
+    x = np.column_stack([np.array(rows.column("shares").combine_chunks().flatten()).reshape(len(y), N_SHARES), score])
+    if len(set(y[~held])) < 2:
+        held = np.zeros(len(y), bool)
     mean, std = x.mean(0), x.std(0) + 1e-6
-    held = rows.column("doc_id").to_numpy() % 5 == 0
     w = regression((x[~held] - mean) / std, y[~held])
     weights, bias = w[:-1] / std, w[-1] - (w[:-1] * mean / std).sum()
     slope, shift = platt(x[held] @ weights + bias, y[held]) if held.any() else (1.0, 0.0)
-    return [float(v) for v in [*(slope * weights), slope * bias + shift]]
+    return Evidence(grams.astype(np.float32), np.append(slope * weights, slope * bias + shift))
 
 
 def logit(p: Column) -> Column:
@@ -107,19 +153,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     """(doc_id, host, path, p_document, p_host, p_path, posterior, kept) for each document.
 
     ``host`` and ``path`` default to the source and, within it, the language. Null sites are sites of their
-    own; null and empty texts are judged by their shares, which are all 0. Without both kinds of labels every
-    document is kept. Other columns of ``docs`` are left out.
+    own; null and empty texts are judged by their shares and score, which are all 0. A posterior of just ``threshold`` is
+    kept. Without both kinds of labels every document is kept. Other columns of ``docs`` are left out.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    weights = fit(docs, labels, most)
-    plain = with_shares(docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), "text"))
-    if weights is None:
-        z = F.lit(30.0)
-    else:
-        z = sum((F.get("shares", F.lit(i)) * w for i, w in enumerate(weights[:-1])), F.lit(weights[-1]))
-    z = F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
-    scored = materialise(plain.select("doc_id", "host", "path", z.alias("z")).withColumn("p", 1 / (1 + F.exp(-F.col("z")))), "evidence")
+    plain = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
+    scored = materialise(with_evidence(plain, fit(docs, labels, most)).withColumn("p", 1 / (1 + F.exp(-F.col("z")))), "evidence")
     site = F.xxhash64(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")), F.coalesce(F.concat(F.lit("p"), "path"), F.lit("n")))
     top = F.xxhash64(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")))
     scored = scored.withColumns({"site": site, "top": top})
@@ -137,6 +177,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     joined = scored.join(rated, "site")
     p_host = (F.col("host_total") - F.col("p") + k_host * overall) / (F.col("host_n") - 1 + k_host)
     p_path = (F.col("total") - F.col("p") + k_path * F.col("p_host")) / (F.col("n") - 1 + k_path)
-    shift = F.least(F.greatest(logit(F.col("p_path")) - logit(F.lit(overall)), F.lit(-MOST_SHIFT)), F.lit(MOST_SHIFT))
+    shift = logit(F.col("p_path")) - logit(F.lit(overall))
     joined = joined.withColumn("p_host", p_host).withColumn("p_path", p_path).withColumn("posterior", 1 / (1 + F.exp(-(F.col("z") + shift))))
     return joined.select("doc_id", "host", "path", F.col("p").alias("p_document"), "p_host", "p_path", "posterior", (F.col("posterior") >= threshold).alias("kept"))

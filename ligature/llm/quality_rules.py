@@ -102,6 +102,26 @@ def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.n
     return {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat[first[1:]] - repeat[first[:-1]]}
 
 
+def sparse(raw: np.ndarray, offs: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each row its different features, 2**BITS at most, and their shares, summed over the families."""
+    families = grams(raw, offs, first, hashes)
+    idx, share = [], []
+    for i in range(len(offs) - 1):
+        own = [x[b[i] : b[i + 1]] for x, b in families]
+        place, at = np.unique(np.concatenate(own), return_inverse=True)
+        idx.append(place)
+        share.append(np.bincount(at, np.concatenate([np.full(len(x), 1 / max(1, len(x))) for x in own]), len(place)).astype(np.float32))
+    return idx, share
+
+
+def dense(weights: np.ndarray, bias: float, raw: np.ndarray, offs: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Each row's sum of weighted shares and bias."""
+    z = np.full(len(offs) - 1, bias)
+    for idx, bounds in grams(raw, offs, first, hashes):
+        z += sums_by_row(weights[idx].astype(np.float64), bounds) / np.maximum(1, np.diff(bounds))
+    return z
+
+
 def evidence(docs: DataFrame) -> DataFrame:
     """Sparse features of labelled documents: (doc_id, y, n, idx, share), of which a text has 2**BITS at most."""
 
@@ -111,13 +131,7 @@ def evidence(docs: DataFrame) -> DataFrame:
             for lo, hi in slices(offs_all):
                 raw, offs = raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
                 words = word_spans(raw, offs)
-                families = grams(raw, offs, words[2], span_hashes(raw, *words[:2]))
-                idx, share = [], []
-                for i in range(hi - lo):
-                    own = [x[b[i] : b[i + 1]] for x, b in families]
-                    place, at = np.unique(np.concatenate(own), return_inverse=True)
-                    idx.append(place)
-                    share.append(np.bincount(at, np.concatenate([np.full(len(x), 1 / max(1, len(x))) for x in own]), len(place)).astype(np.float32))
+                idx, share = sparse(raw, offs, words[2], span_hashes(raw, *words[:2]))
                 n = pa.array([len(x) for x in idx], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("y")[lo:hi], n, pa.array(idx, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], ["doc_id", "y", "n", "idx", "share"])
 
@@ -214,10 +228,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 words = word_spans(raw, offs)
                 h = span_hashes(raw, *words[:2])
                 base = base_counts(raw, offs, words, h)
-                z = np.full(hi - lo, own.bias)
-                for idx, bounds in grams(raw, offs, words[2], h):
-                    z += sums_by_row(own.weights[idx].astype(np.float64), bounds) / np.maximum(1, np.diff(bounds))
-                p = own.probability(z)
+                p = own.probability(dense(own.weights, own.bias, raw, offs, words[2], h))
                 failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * base["n_words"])
                 names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
                 yield pa.RecordBatch.from_arrays(

@@ -246,6 +246,59 @@ def test_quality_classifier_shrinks_sparse_sites(spark):
     assert quality_classifier.classify(empty(spark), none).count() == 0
 
 
+def brute_sites(rows):
+    """p_host, p_path and posterior of each row from its p_document, by the formulas, one row after the other."""
+    from math import exp, log
+
+    def strength(groups):  # (n, total, prior)
+        e = sum((t - n * m) ** 2 - n * m * (1 - m) for n, t, m in groups)
+        p = sum(n * (n - 1) * m * (1 - m) for n, t, m in groups)
+        rho = e / p if p else 0.0
+        return min(1e4, max(1.0, 1 / rho - 1)) if rho > 0 else 1e4
+
+    logit = lambda p: log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    hosts, paths = {}, {}
+    for r in rows:
+        for d, key in ((hosts, r["host"]), (paths, (r["host"], r["path"]))):
+            n, t = d.get(key, (0, 0.0))
+            d[key] = (n + 1, t + r["p_document"])
+    overall = sum(t for _, t in hosts.values()) / len(rows)
+    k_host = strength([(n, t, overall) for n, t in hosts.values()])
+    prior = {h: (t + k_host * overall) / (n + k_host) for h, (n, t) in hosts.items()}
+    k_path = strength([(n, t, prior[h]) for (h, _), (n, t) in paths.items()])
+    out = {}
+    for r in rows:
+        p, (hn, ht), (n, t) = r["p_document"], hosts[r["host"]], paths[r["host"], r["path"]]
+        p_host = (ht - p + k_host * overall) / (hn - 1 + k_host)
+        p_path = (t - p + k_path * p_host) / (n - 1 + k_path)
+        z = log(p) - log(1 - p) + logit(p_path) - logit(overall)
+        out[r["doc_id"]] = (p_host, p_path, 1 / (1 + exp(-z)))
+    return out, overall
+
+
+def test_quality_classifier_by_brute_force(spark):
+    """Moments, shrinkage and leaving one out; hosts that differ, some with one document, and null ones."""
+    rnd = random.Random(8)
+    data = []
+    for i, text, lang, _, n in learnable(600):
+        host = ["bad", "good", "good", "mixed", None][rnd.randrange(5)] if i % 40 else f"lone{i}"
+        if host == "bad" and i % 3 or host == "good" and i % 5 == 0 and i % 2:
+            text = text.upper().replace(" ", "!! ")
+        data.append((i, text, rnd.choice(["en", "de", None]), host, n))
+    marks = spark.createDataFrame([(r[0], int("!!" not in r[1]), 0) for r in data if r[0] % 2], "doc_id long, quality int, toxic int")
+    out = quality_classifier.classify(spark.createDataFrame(data, SCHEMA).repartition(3), marks).collect()
+    want, overall = brute_sites(out)
+    for r in out:
+        assert all(abs(r[c] - w) < 1e-6 for c, w in zip(("p_host", "p_path", "posterior"), want[r["doc_id"]]))
+        assert r["kept"] == (r["posterior"] >= 0.5)
+    rate = {h: [r["p_path"] for r in out if r["host"] == h] for h in ("bad", "good")}
+    assert max(rate["bad"]) < overall < min(rate["good"])
+    # a site without others of its own has the corpus's rate, whatever its one document is like
+    lone = [r for r in out if (r["host"] or "").startswith("lone")]
+    assert {"!!" in data[r["doc_id"]][1] for r in lone} == {True, False} or len(lone) > 5
+    assert all(abs(r["p_host"] - overall) < 1e-9 and abs(r["p_path"] - overall) < 1e-9 for r in lone)
+
+
 def test_language_forward_sums_all_segmentations():
     import numpy as np
 
