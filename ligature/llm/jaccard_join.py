@@ -5,11 +5,13 @@ sets, MinHash bands propose pairs; a pair's MinHash values are compared a few at
 soon as the posterior probability that its similarity reaches the threshold falls below the tolerance. What
 survives is verified exactly on the shingles.
 
-No pair ever becomes a row. Buckets are cut into blocks of bounded size, every two blocks of a bucket meet in
-one task, and that task returns a spanning forest of the pairs that survive. The forests' components are the
-clusters; each cluster's blocks meet in the same way with their shingles, all pairs are pruned and verified
-there, and each text's links are counted there. Only the signatures of texts that share a bucket are copied,
-and only the shingles of texts in a cluster are built again.
+No pair ever becomes a row, and a large group is not compared pair by pair where its middle tells enough. In a bucket
+all members are compared with one of them first. Those that survive hang together; only the others meet the rest, in
+blocks of bounded size, and a task returns a spanning forest of what survives. The components are the clusters.
+In a cluster each text's exact distance (one minus similarity) from a central one is taken. Distances are a metric, so
+two texts whose distances add up to no more than the bound are linked, two that differ by more are not, and both
+are counted by classes of distance. Only texts of the other classes meet, in blocks of bounded bytes, where
+pairs are pruned and verified on their shingles.
 """
 
 from __future__ import annotations
@@ -20,16 +22,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Forest, components, materialise, mix, ship, slices, span_hashes, text_block, word_spans
 
-WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
+#: At this tolerance a linked pair just above the threshold is dropped with about 1e-8.
+WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 #: A pair at 0.8 misses all bands with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
 STEPS = (16, 32, 48, 64, 96, 128, 160)
-BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 96
+#: Texts of a block of a bucket; texts and bytes of shingles of a block of a cluster.
+BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 1024, 1024, 1 << 19
+#: Classes of distance up to the bound, and in all.
+CLASSES, MOST_CLASSES = 16, 96
 
 _random = np.random.RandomState(7)
 _FACTORS = (_random.randint(1, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -130,26 +136,53 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(rep, cluster, size, copies, signs, shingles) from the same columns and text."""
-    names = ["rep", "cluster", "size", "copies", "signs"]
+    """(cluster, center): the shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = text_block(batch.column("text"))
             for lo, hi in slices(offs):
                 sets = shingle_sets(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in names], pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("cluster")[lo:hi], pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "center"])
 
-    return docs.select(*names, "text").mapInArrow(run, "rep long, cluster long, size long, copies long, signs binary, shingles binary")
+    return docs.select("cluster", "text").mapInArrow(run, "cluster long, center binary")
 
 
-def meet(df: DataFrame, keys: list[str], n: Column, block: int) -> DataFrame:
-    """Rows of a group cut into blocks of about ``block``; columns ``own``, ``i`` <= ``j``: every two blocks of a
-    group meet as (keys, i, j), whose rows stand together in one partition."""
-    blocks = F.ceil(n / block).cast("int")
-    out = df.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    out = out.withColumn("i", F.least("own", "other").cast("int")).withColumn("j", F.greatest("own", "other").cast("int")).drop("other")
-    return out.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "rep")
+def with_distances(docs: DataFrame, threshold: float) -> DataFrame:
+    """(rep, cluster, g, shingles): the class of each text's distance from ``center``, and its shingles."""
+    width = max(1 - threshold, 1e-6) / CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = text_block(batch.column("text"))
+            for lo, hi in slices(offs):
+                sets = shingle_sets(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                kinds = []
+                for own, x in zip(sets, batch.column("center")[lo:hi]):
+                    center = np.frombuffer(x.as_buffer(), np.uint64)
+                    common = int((center[np.minimum(np.searchsorted(center, own), len(center) - 1)] == own).sum())
+                    kinds.append(min(int((1 - common / (len(own) + len(center) - common)) / width), MOST_CLASSES - 1))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in ("rep", "cluster")], pa.array(kinds, pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cluster", "g", "shingles"])
+
+    return docs.select("rep", "cluster", "center", "text").mapInArrow(run, "rep long, cluster long, g int, shingles binary")
+
+
+def near_heads(members: DataFrame, least: dict[int, int]) -> DataFrame:
+    """(band, key, rep, head, near): whether a bucket's member survives the comparison with the bucket's head."""
+    names = ["band", "key", "rep", "head"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = np.concatenate([fixed_bytes(batch.column(c), BANDS * ROWS) for c in ("signs", "head_signs")])
+            near = survive(signs, np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows, least)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(near)], [*names, "near"])
+
+    return members.select(*names, "signs", "head_signs").mapInArrow(run, "band int, key long, rep long, head long, near boolean")
+
+
+def together(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a pair of blocks (keys, i, j) stand together in one partition."""
+    return df.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "rep")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -177,7 +210,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield rest.combine_chunks(), numbers(rest)
 
 
-def fixed_bytes(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def fixed_bytes(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return text_block(column)[0].reshape(-1, width)
 
 
@@ -191,7 +224,7 @@ def forests(members: DataFrame, least: dict[int, int]) -> DataFrame:
             cross = table.column("i").to_numpy() != table.column("j").to_numpy()
             signs = fixed_bytes(table.column("signs"), BANDS * ROWS)
             trees = Forest(len(rep))
-            at, d, edges = np.arange(len(rep)), 0, []
+            at, d = np.arange(len(rep)), 0
             while len(at):
                 d += 1
                 at = at[at < len(rep) - d]
@@ -252,6 +285,54 @@ def verified(members: DataFrame, least: dict[int, int], threshold: float) -> Dat
     return members.select(*keys, "own", "rep", "copies", "signs", "shingles").mapInArrow(run, "rep long, links long, tree long")
 
 
+def bucket_edges(signed: DataFrame, least: dict[int, int]) -> DataFrame:
+    """Edges (a, b) that join what survives the pruning within each bucket, from (band, key, rep, signs).
+
+    Members that survive with their bucket's head hang together by it. Each of the others meets all members, so its
+    bucket is cut into blocks of far and of near members, and two blocks meet if one of them is of far ones.
+    """
+    heads = signed.groupBy("band", "key").agg(F.min(F.struct("rep", "signs")).alias("h")).select("band", "key", F.col("h.rep").alias("head"), F.col("h.signs").alias("head_signs"))
+    stars = materialise(near_heads(signed.join(heads.hint("merge"), ["band", "key"]), least), "bucket-stars")
+    far = stars.groupBy("band", "key").agg(F.sum((~F.col("near")).cast("long")).alias("n_far"), F.sum(F.col("near").cast("long")).alias("n_near")).filter("n_far > 0 and n_far + n_near > 2")
+    rest = stars.select("band", "key", "rep", "near").join(materialise(far, "open-buckets").hint("merge"), ["band", "key"])
+    n_far, n_near = (F.ceil(F.col(c) / BUCKET_BLOCK).cast("int") for c in ("n_far", "n_near"))
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    rest = rest.withColumn("own", F.when(F.col("near"), n_far + block(n_near)).otherwise(block(n_far)))
+    rest = rest.join(signed.select("band", "key", "rep", "signs").hint("merge"), ["band", "key", "rep"])
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("near"), n_far).otherwise(n_far + n_near) - 1)))
+    rest = rest.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    trees = forests(together(rest, ["band", "key"]), least)
+    return stars.filter("near and rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).unionByName(trees).distinct()
+
+
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (rep, cluster) with their texts, once where rows repeat a doc_id."""
+    return docs.join(rows.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+
+
+def by_class(rows: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (rep, cluster, g, bytes, copies): (rep, links, center) by classes alone, where center is null unless the text
+    is surely linked with it; and (rep, cluster, own, pairs) of the texts that must meet others, with the pairs (i, j)
+    of blocks in which they do.
+
+    A text of class g is at less than g + 1 widths from the center, of which CLASSES make the bound. So classes f and g
+    are linked if f + g + 2 <= CLASSES, and can't be if one of them is more than CLASSES + 1 above the other.
+    """
+    per = rows.groupBy("cluster", "g").agg(F.sum("copies").alias("docs"), F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("bytes") / CLUSTER_BYTES)).cast("int").alias("blocks"))
+    before = Window.partitionBy("cluster").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # of MOST_CLASSES rows at most
+    per = per.withColumn("offset", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int"))
+    per = materialise(per.groupBy("cluster").agg(F.collect_list(F.struct("g", "docs", "blocks", "offset")).alias("classes")), "distance-classes")
+    named = rows.join(per.hint("merge"), "cluster").join(centers.withColumnRenamed("rep", "center").hint("merge"), "cluster")
+    sure = f"filter(classes, c -> c.g + g + 2 <= {CLASSES})"
+    links = f"aggregate({sure}, 0L, (n, c) -> n + c.docs) - if(2 * g + 2 <= {CLASSES}, copies, 0L)"
+    open_ = f"filter(classes, c -> c.g + g + 2 > {CLASSES} and abs(c.g - g) <= {CLASSES + 1})"
+    own = "element_at(transform(filter(classes, c -> c.g = g), c -> c.offset + cast(pmod(xxhash64(rep), c.blocks) as int)), 1)"
+    named = named.selectExpr("rep", "cluster", f"{links} as links", f"if(g + 2 <= {CLASSES}, center, null) as center", f"{open_} as open", f"{own} as own")
+    pairs = "flatten(transform(open, c -> transform(sequence(c.offset, c.offset + c.blocks - 1), b -> struct(least(own, b) as i, greatest(own, b) as j))))"
+    named = materialise(named.selectExpr("rep", "cluster", "links", "center", "own", f"{pairs} as pairs"), "block-pairs")
+    return named.select("rep", "links", "center"), named.filter("size(pairs) > 0").select("rep", "cluster", "own", "pairs")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, class_id, n_links) for each document.
 
@@ -266,21 +347,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     least = least_matches(threshold, tolerance)
     drawn = materialise(sketches(docs), "sketches")
     reps = materialise(drawn.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
-    own = drawn.join(reps.select(F.col("rep").alias("doc_id"), "copies").hint("merge"), "doc_id").withColumnRenamed("doc_id", "rep")
+    own = drawn.join(reps.select(F.col("rep").alias("doc_id"), "copies").hint("merge"), "doc_id").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     bands = materialise(own.select("rep", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = materialise(bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = materialise(bands.join(buckets.hint("merge"), ["band", "key"]), "members")
-    signed = members.join(own.select("rep", "signs").hint("merge"), "rep")
-    edges = materialise(forests(meet(signed, ["band", "key"], F.col("n"), BUCKET_BLOCK), least).distinct(), "pruned-edges")
-    clusters = materialise(components(edges, "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    clusters = materialise(clusters.join(materialise(sizes, "cluster-sizes"), "cluster").join(own.select("rep", "copies", "signs").hint("merge"), "rep"), "cluster-rows")
-    texts = docs.join(clusters.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id").withColumnRenamed("doc_id", "rep")
-    found = materialise(verified(meet(with_sets(texts), ["cluster"], F.col("size"), CLUSTER_BLOCK), least, threshold), "links")
-    classes = components(found.select(F.col("rep").alias("a"), F.col("tree").alias("b")), "classes")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    members = bands.join(buckets.select("band", "key").hint("merge"), ["band", "key"])
+    signed = materialise(members.join(own.select("rep", "signs").hint("merge"), "rep"), "members")
+    edges = materialise(bucket_edges(signed, least), "pruned-edges")
+    clusters = components(edges, "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    clusters = materialise(clusters.join(own.select("rep", "copies", "signs").hint("merge"), "rep"), "cluster-rows")
+    # the central text: the one that shares most buckets with others
+    shared = signed.join(buckets.hint("merge"), ["band", "key"]).groupBy("rep").agg(F.sum("n").alias("n"))
+    centers = clusters.select("rep", "cluster").join(shared.hint("merge"), "rep").groupBy("cluster").agg(F.max(F.struct("n", "rep"))["rep"].alias("rep"))
+    centers = materialise(centers, "centers")
+    sets = materialise(with_sets(texts_of(docs, centers)), "center-sets")
+    starred = materialise(with_distances(texts_of(docs, clusters.select("rep", "cluster")).join(sets.hint("merge"), "cluster"), threshold), "distances")
+    sure, open_ = by_class(starred.select("rep", "cluster", "g", F.length("shingles").alias("bytes")).join(clusters.select("rep", "copies").hint("merge"), "rep"), centers)
+    blocks = open_.join(starred.select("rep", "shingles").hint("merge"), "rep").join(clusters.select("rep", "copies", "signs").hint("merge"), "rep").select("*", F.inline("pairs"))
+    found = materialise(verified(together(blocks, ["cluster"]), least, threshold), "links")
+    near = sure.filter("center is not null").select(F.col("rep").alias("a"), F.col("center").alias("b"))
+    classes = components(found.select(F.col("rep").alias("a"), F.col("tree").alias("b")).unionByName(near), "classes")
+    links = found.select("rep", "links").unionByName(sure.select("rep", "links")).groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = materialise(named, "text-classes")
-    out = drawn.select("doc_id", "digest").join(named.hint("merge"), "digest", "left")
+    # texts without words share the null digest, and stand aside
+    out = drawn.filter("digest is not null").select("doc_id", "digest").join(named.hint("merge"), "digest", "left").select("doc_id", "class_id", "n_links")
+    out = out.unionByName(drawn.filter("digest is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

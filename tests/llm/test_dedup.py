@@ -96,6 +96,54 @@ def test_jaccard_join_across_blocks(spark, monkeypatch):
         assert (out[i]["class_id"], out[i]["n_links"]) == (cls, n)
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_jaccard_join_of_clusters_with_near_and_far_texts(spark, monkeypatch, block):
+    """Texts at all distances from the middle of their cluster: counted by classes, or met in blocks."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", block)
+    rnd = np.random.RandomState(2)
+    data, n = [], 0
+    for c in range(3):
+        base = [f"c{c}w{k}" for k in range(160)]
+        for edits in [0, 0, *range(1, 7)] * 5:
+            words = list(base)
+            for at in rnd.choice(160, edits, replace=False):
+                words[at] = f"x{rnd.randint(30)}"
+            data.append((n, " ".join(words[: 160 - rnd.randint(0, 2) * 25]), "en", "s", 0))
+            n += 1
+    out = got(jaccard_join.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(4)))
+    want = brute_links(data)
+    assert {i: (r["class_id"], r["n_links"]) for i, r in out.items()} == want
+    assert len({k for _, k in want.values()}) > 10
+
+
+def test_jaccard_join_of_a_cluster_of_thousands(spark, monkeypatch):
+    """Lightly edited copies of one text are counted by classes, without any pair of blocks; a few heavy ones meet them."""
+    rnd = np.random.RandomState(4)
+    base, data = [f"w{k}" for k in range(200)], []
+    for i in range(2000):
+        words = list(base)
+        for at in rnd.choice(200, rnd.randint(0, 3) if i % 100 else 6, replace=False):
+            words[at] = f"e{i}"
+        data.append((i, " ".join(words), "en", "s", 0))
+    copied = []
+    meet = jaccard_join.together
+    monkeypatch.setattr(jaccard_join, "together", lambda df, keys: meet(df, keys) if copied.append(df.count()) is None else None)
+    out = got(jaccard_join.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(4)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, *_ in data)]
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    holds = np.zeros((len(sets), len(number)), np.float32)
+    for i, own in enumerate(sets):
+        holds[i, [number[x] for x in own]] = 1
+    common, size = holds @ holds.T, holds.sum(1)
+    linked = common >= 0.8 * (size[:, None] + size - common) - 1e-6
+    assert [out[i]["n_links"] for i in range(len(data))] == (linked.sum(1) - 1).tolist()
+    loose = [i for i in range(len(data)) if linked[i].sum() == 1]
+    first = min(set(range(len(data))) - set(loose))
+    assert all(out[i]["class_id"] == (i if i in loose else first) for i in out)  # all others hang together here
+    assert sum(copied) < 10 * len(data)
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     least = jaccard_join.least_matches()
     assert all(0 < least[n] < 0.8 * n for n in jaccard_join.STEPS)
