@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def ledger(df: DataFrame, key: str, order: str) -> DataFrame:
     """Adds ``outcome`` to rows with a ``reason``: the reason, "Duplicate SMILES" for passing rows whose key came
-    before, or "ok". Only passing rows are compared, by key."""
-    first = Window.partitionBy(key, F.col("reason").isNull()).orderBy(order)
-    twin = F.col("reason").isNull() & (F.row_number().over(first) > 1)
-    return df.withColumn("outcome", F.when(twin, "Duplicate SMILES").otherwise(F.coalesce("reason", F.lit("ok"))))
+    before, or "ok". Only passing rows are compared, by key; ``order`` tells rows apart. The first of each key comes from
+    partial minima, and failing rows stand aside, so neither a frequent key nor the failures' null key gathers in a task."""
+    passing, failing = df.filter("reason is null"), df.filter("reason is not null")
+    first = passing.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    marked = passing.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    marked = marked.withColumn("outcome", F.when(F.col(order) > F.col("_first"), "Duplicate SMILES").otherwise("ok"))
+    return marked.select(*df.columns, "outcome").unionByName(failing.withColumn("outcome", F.col("reason")))
 
 
 def ledger_stats(rows: DataFrame) -> DataFrame:

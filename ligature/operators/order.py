@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+#: Ranges of the rows that share a value of the first column.
+SUB = 16
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "idx", parts: int | None = None) -> DataFrame:
@@ -11,21 +15,35 @@ def with_position(df: DataFrame, order: list[str], name: str = "idx", parts: int
 
     Rows are dealt to ranges of the first column between approximate quantiles (``parts`` numbers, fixed before
     use, so every pass deals alike), counted by range, and numbered within their range from the count of those
-    before. Only the ranges' counts, a row each, pass through one window.
+    before. A quantile is a range of its own, and is dealt again by the second column if that is a number, so a value
+    that many rows share doesn't gather in one task. Only the ranges' counts, a row each, pass through one window.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order[0]).cast("double")
     edges = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []
-    dealt = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))).cast("array<double>"), lambda e: e < key))
-    ranged = df.withColumn("_part", dealt)
+    known = F.array(*map(F.lit, sorted(set(edges)))).cast("array<double>")
+    dealt = F.size(F.filter(known, lambda e: e < key)) * 2 + F.array_contains(known, F.coalesce(key, F.lit(float("nan")))).cast("int")
+    ranged = df.withColumn("_part", (dealt * SUB).cast("long"))
+    if len(order) > 1 and isinstance(df.schema[order[1]].dataType, NumericType):
+        second = F.col(order[1]).cast("double")
+        cuts = ranged.filter(f"_part % {2 * SUB} = {SUB}").groupBy("_part").agg(F.percentile_approx(second, [i / SUB for i in range(1, SUB)]).alias("e")).collect()  # ``parts`` rows of SUB numbers
+        if cuts:
+            finer = F.create_map(*[F.lit(x) for r in cuts for x in (r["_part"], [float(v) for v in r["e"] or []])])
+            ranged = ranged.withColumn("_part", F.col("_part") + F.coalesce(F.size(F.filter(F.try_element_at(finer, F.col("_part")), lambda e: e < second)), F.lit(0)))
     before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_part").orderBy(*order)
     numbered = ranged.withColumn("_row", F.row_number().over(inside))
-    joined = numbered.join(F.broadcast(offsets), "_part")  # ``parts`` rows
+    joined = numbered.join(F.broadcast(offsets), "_part")  # ``parts`` rows, and SUB for each value that is a quantile
     return joined.withColumn(name, (F.col("_offset") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_offset")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it comes in fewer parts (one row group or one gzip file, say), for work row by row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cap(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows in order; 0 takes all."""
     return df.orderBy(*order).limit(n) if n else df

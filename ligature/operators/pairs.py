@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import once
+from .order import spread
 
 
 def path_name(path: Column) -> Column:
@@ -56,7 +57,7 @@ def parse_types_line(line: Column, layout: str = "reference") -> Column:
 
 def types_log(lines: DataFrame, layout: str = "reference") -> DataFrame:
     """The log's rows: all columns, and affinity, receptor, ligand."""
-    return lines.withColumn("_p", parse_types_line(F.col("line"), layout)).filter("_p is not null").select(*lines.columns, "_p.*")
+    return spread(lines).withColumn("_p", parse_types_line(F.col("line"), layout)).filter("_p is not null").select(*lines.columns, "_p.*")
 
 
 def pair_by_pocket(files: DataFrame) -> DataFrame:
@@ -69,30 +70,34 @@ def pair_by_pocket(files: DataFrame) -> DataFrame:
 def restrict_to_targets(log: DataFrame, pairs: DataFrame) -> DataFrame:
     """Log rows of target pockets (or of none) whose receptor or ligand begins with the stem of any target.
 
-    A stem's length is one of a few, so each name is cut to those lengths and the match is an equi-join; a row
-    that matches more than once comes back once.
+    A stem's length is one of a few, so each name is cut to those lengths and the match is an equi-join, made once for
+    each different pair of names; rows come back by their names, as often as they are in the log.
     """
     targets = pairs.select(path_parent(F.col("receptor")).alias("pocket"), F.explode(F.array(path_stem(F.col("receptor")), path_stem(F.col("ligand")))).alias("stem"))
     sizes = [r["n"] for r in targets.select(F.length("stem").alias("n")).distinct().collect()]  # a few numbers
     lengths = F.array(*map(F.lit, sizes)).cast("array<int>")
     pockets = targets.select("pocket").distinct().unionByName(targets.sparkSession.createDataFrame([(None,)], "pocket string"))
     marked = log.withColumn("_pocket", F.when(F.col("receptor").contains("/"), F.split("receptor", "/")[0]))
-    near = marked.join(pockets, F.col("_pocket").eqNullSafe(F.col("pocket")), "left_semi").withColumn("_id", F.monotonically_increasing_id())
+    near = marked.join(pockets, F.col("_pocket").eqNullSafe(F.col("pocket")), "left_semi")
     names = F.array(*[F.element_at(F.split(affinity_key(F.col(c)), "/"), -1) for c in ("receptor", "ligand")])
     cuts = F.flatten(F.transform(names, lambda x: F.transform(F.filter(lengths, lambda n: n <= F.length(x)), lambda n: F.substr(x, F.lit(1), n))))
-    hits = near.withColumn("stem", F.explode(F.array_distinct(cuts))).join(targets.select("stem").distinct(), "stem", "left_semi")
-    return hits.dropDuplicates(["_id"]).select(*log.columns)
+    tried = near.select("receptor", "ligand").distinct().withColumn("stem", F.explode(F.array_distinct(cuts)))
+    hits = tried.join(targets.select("stem").distinct(), "stem", "left_semi").select("receptor", "ligand").distinct()
+    return near.join(hits, ["receptor", "ligand"], "left_semi").select(*log.columns)
 
 
-def affinity_table(log: DataFrame, order: list[str]) -> DataFrame:
-    """(rec_key, lig_key, affinity): two keys a line, rewritten and bare; the last line in order wins."""
+def affinity_table(log: DataFrame, order: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(rec_key, lig_key, affinity): two keys a line, rewritten and bare; the last line in order wins. Of ``wanted``
+    keys (rec_key, lig_key) only, if given."""
     bare = lambda c: F.element_at(F.split(c, "/"), -1)
     keys = F.array(
         F.struct(affinity_key(F.col("receptor")).alias("rec_key"), affinity_key(F.col("ligand")).alias("lig_key")),
         F.struct(bare("receptor").alias("rec_key"), bare("ligand").alias("lig_key")),
     )
-    each = log.select("affinity", F.struct(*order).alias("at"), F.explode(F.array_distinct(keys)).alias("k"))
-    return each.groupBy("k.rec_key", "k.lig_key").agg(F.max_by("affinity", "at").alias("affinity"))
+    each = log.select("affinity", F.struct(*order).alias("at"), F.explode(F.array_distinct(keys)).alias("k")).select("k.*", "affinity", "at")
+    if wanted is not None:
+        each = each.join(wanted.select("rec_key", "lig_key").distinct(), ["rec_key", "lig_key"], "left_semi")
+    return each.groupBy("rec_key", "lig_key").agg(F.max_by("affinity", "at").alias("affinity"))
 
 
 def candidate_keys(protein: Column, ligand: Column) -> Column:
@@ -116,9 +121,18 @@ def candidate_keys(protein: Column, ligand: Column) -> Column:
     return once(names, forms)
 
 
+def keys_of(pairs: DataFrame) -> DataFrame:
+    """(receptor, ligand, pos, rec_key, lig_key): the key forms of each different pair, in the order in which they are tried."""
+    keyed = pairs.select("receptor", "ligand").distinct()
+    return keyed.select("receptor", "ligand", F.posexplode(candidate_keys(F.col("receptor"), F.col("ligand"))).alias("pos", "k")).select("receptor", "ligand", "pos", "k.*")
+
+
+def lookup_in_log(pairs: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
+    """lookup_affinity() straight from the log: only lines that have a wanted key are grouped."""
+    return lookup_affinity(pairs, affinity_table(log, order, keys_of(pairs)))
+
+
 def lookup_affinity(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Adds affinity to (receptor, ligand) pairs: all key forms in one join, the first that hits wins."""
-    keyed = pairs.select("receptor", "ligand").distinct()
-    each = keyed.select("receptor", "ligand", F.posexplode(candidate_keys(F.col("receptor"), F.col("ligand"))).alias("pos", "k")).select("receptor", "ligand", "pos", "k.*")
-    hits = each.join(table, ["rec_key", "lig_key"]).groupBy("receptor", "ligand").agg(F.min_by("affinity", "pos").alias("affinity"))
+    hits = keys_of(pairs).join(table, ["rec_key", "lig_key"]).groupBy("receptor", "ligand").agg(F.min_by("affinity", "pos").alias("affinity"))
     return pairs.join(hits, ["receptor", "ligand"], "left")

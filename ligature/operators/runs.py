@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log10
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ FIXED_KEYS = (
     "epoch phase timestamp train_loss train_reconstruction_loss train_perplexity train_accuracy train_entropy "
     "val_loss val_reconstruction_loss val_perplexity val_accuracy val_entropy learning_rate"
 ).split()
+#: Steps that a window sums at once.
+BLOCK = 64
 EXTRA_KEYS = ["validity_rate", "avg_qed", "avg_sa", "ppo_weight", "tf_prob"]
 
 
@@ -47,21 +51,42 @@ def stability(df: DataFrame, run: str = "run_id", step: str = "step", patience:
     return out.withColumn("is_unstable", F.col("numerical_instability") | F.col("exploding_gradients") | F.col("non_finite_loss") | F.col("complete_stagnation")).drop("_n", "_better")
 
 
-def gae(df: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """(seq_id, step, advantage, returns, normalised) from (seq_id, step, value, reward).
+def decayed_sums(df: DataFrame, key: str, at: str, value: str, decay: float, levels: int = 2) -> DataFrame:
+    """Adds ``sum``: value + decay * (the sum of the row before), in the order of ``at`` (0, 1, 2, ... by key).
 
-    A sequence is one row's array, walked backwards; the normalisation takes one row of totals.
+    Within blocks of BLOCK rows by a window; the blocks' last sums are rows of the same kind, BLOCK times fewer, and
+    after ``levels`` of them an array is walked. So no row holds a whole key, and no step copies what came before.
     """
-    by = df.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("step", "value", "reward"))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("a"), F.array().cast("array<struct<step:int,value:double,a:double>>").alias("out"))
+    if decay < 1e-4:  # what is more than a few rows back is below 1e-40 of its value
+        back = Window.partitionBy(key).orderBy(at)
+        few = int(-40 / log10(decay)) + 1 if decay > 0 else 0
+        return df.withColumn("sum", sum((F.coalesce(F.lag(value, k).over(back), F.lit(0.0)) * decay**k for k in range(1, few + 1)), F.col(value)))
+    own = f"_key{levels}"
+    place = F.pmod(F.col(at), F.lit(BLOCK))
+    rows = df.withColumn("_block", F.floor(F.col(at) / BLOCK)).withColumn("_place", place)
+    inside = Window.partitionBy(key, "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("_place"))).over(inside) * F.pow(F.lit(decay), F.col("_place")))
+    ends = rows.groupBy(F.col(key).alias(own), F.col("_block").alias("_at")).agg(F.max_by("_own", "_place").alias("_end"))
+    if levels:
+        ends = decayed_sums(ends, own, "_at", "_end", decay**BLOCK, levels - 1)
+    else:
+        walk = lambda acc, x: F.concat(acc, F.array(x["_end"] + decay**BLOCK * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))))
+        listed = ends.groupBy(own).agg(F.array_sort(F.collect_list(F.struct("_at", "_end"))).alias("s"))
+        walked = F.aggregate("s", F.array().cast("array<double>"), walk)
+        ends = listed.select(own, F.posexplode(walked).alias("_at", "sum"))
+    carry = ends.select(own, (F.col("_at") + 1).alias("_after"), F.col("sum").alias("_carry"))
+    joined = rows.join(carry, (F.col(key) == F.col(own)) & (F.col("_block") == F.col("_after")), "left")
+    return joined.select(*df.columns, (F.col("_own") + F.pow(F.lit(decay), F.col("_place") + 1) * F.coalesce("_carry", F.lit(0.0))).alias("sum"))
 
-    def back(acc: Column, x: Column) -> Column:
-        a = x["reward"] + gamma * acc["next"] - x["value"] + gamma * lam * acc["a"]
-        row = F.array(F.struct(x["step"].cast("int").alias("step"), x["value"].alias("value"), a.alias("a")))
-        return F.struct(x["value"].alias("next"), a.alias("a"), F.concat(acc["out"], row).alias("out"))
 
-    rows = by.select("seq_id", F.inline(F.aggregate(F.reverse("s"), start, back)["out"]))
-    rows = rows.select("seq_id", "step", F.col("a").alias("advantage"), (F.col("a") + F.col("value")).alias("returns"))
+def gae(df: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
+    """(seq_id, step, advantage, returns, normalised) from (seq_id, step, value, reward), backwards from each
+    sequence's last step; the normalisation takes one row of totals."""
+    back = Window.partitionBy("seq_id").orderBy(F.desc("step"))
+    rows = df.select("seq_id", "step", "value", "reward", (F.row_number().over(back) - 1).alias("_n"), F.coalesce(F.lag("value").over(back), F.lit(0.0)).alias("_next"))
+    rows = rows.withColumn("_delta", F.col("reward") + gamma * F.col("_next") - F.col("value"))
+    rows = decayed_sums(rows, "seq_id", "_n", "_delta", gamma * lam)
+    rows = rows.select("seq_id", F.col("step").cast("int").alias("step"), F.col("sum").alias("advantage"), (F.col("sum") + F.col("value")).alias("returns"))
     totals = rows.agg(F.avg("advantage").alias("_m"), F.stddev_samp("advantage").alias("_s"))
     return rows.crossJoin(F.broadcast(totals)).withColumn("normalised", (F.col("advantage") - F.col("_m")) / (F.col("_s") + 1e-8)).drop("_m", "_s")  # one row
 
@@ -87,8 +112,11 @@ def schedule_audit(df: DataFrame, epoch: Column, logged_tf: Column, logged_rl: C
 
 
 def metric_record(fixed: dict[str, Column], extra: Column) -> Column:
-    """JSON of the fixed keys and of those entries of the map ``extra`` that belong in a record, prefixed."""
+    """JSON of the fixed keys, in their order and null where not given, and of those entries of the map ``extra`` that
+    belong in a record, prefixed. Numbers stay numbers; other names than the fixed ones are an error."""
+    if unknown := set(fixed) - set(FIXED_KEYS):
+        raise ValueError(f"no fixed keys of a record: {sorted(unknown)}")
+    whole = F.to_json(F.struct(*[fixed.get(k, F.lit(None).cast("string")).alias(k) for k in FIXED_KEYS]), {"ignoreNullFields": "false"})
     wanted = F.map_filter(extra, lambda k, v: k.startswith("ppo_") | k.isin(EXTRA_KEYS))
-    body = F.map_from_entries(F.transform(F.map_entries(wanted), lambda e: F.struct(F.concat(F.lit("train_"), e["key"]), e["value"].cast("string"))))
-    named = F.create_map(*[x for k, v in fixed.items() for x in (F.lit(k), v.cast("string"))])
-    return F.to_json(F.map_concat(named, body))
+    more = F.to_json(F.map_from_entries(F.transform(F.map_entries(wanted), lambda e: F.struct(F.concat(F.lit("train_"), e["key"]), e["value"]))), {"ignoreNullFields": "false"})
+    return F.concat(F.substr(whole, F.lit(1), F.length(whole) - 1), F.when(F.size(wanted) > 0, F.concat(F.lit(","), F.substr(more, F.lit(2)))).otherwise(F.lit("}")))

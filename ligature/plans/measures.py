@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions.scores import reward, sa_norm
-from ..operators import candidates, quality, runs
-from .molecules import _D_CLASS, _VOCAB, d_tokens, quoted, rule_of_five
+from ..operators import candidates, clean, quality, runs
+from .molecules import _D_CLASS, _VOCAB, d_tokens, quoted
 from .registry import query, table
 from .views import view, with_views
 
@@ -45,9 +45,10 @@ def d9_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.diversity(mol, "mol_id", "g"))
 
 
-@query("with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select a.label, list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12)) as c from v a join v b on a.label = b.label and a.vec_id <> b.vec_id) select label, count(*)::bigint as pairs, round(avg(c), 6) as mean, round(stddev_samp(c), 6) as std, round(max(c), 6) as max, round(min(c), 6) as min from p group by label")
+@query("with v as (select vec_id, vec_id // 64 as batch, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select a.batch, list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12)) as c from v a join v b on a.batch = b.batch and a.vec_id <> b.vec_id) select batch, count(*)::bigint as pairs, round(avg(c), 6) as mean, round(stddev_samp(c), 6) as std, round(max(c), 6) as max, round(min(c), 6) as min from p group by batch")
 def d10_cosine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality.cosine_summary(table(spark, sf_dir, "embeddings"), "embedding", "label", "vec_id"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 64))
+    return rounded(quality.cosine_summary(rows, "embedding", "batch", "vec_id"))
 
 
 @query("select label, (dim - 1)::int as dim, round(avg(x), 6) as mean from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from embeddings where vec_id % 3 <> 0) group by 1, 2")
@@ -71,7 +72,7 @@ _D_BOTH = "both_ as (select *, not contains(smiles, '>') as valid, (mw > 500)::i
 
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_of_five(view(spark, sf_dir, "v_mol").join(view(spark, sf_dir, "v_prop"), "mol_id"))
+    return clean.rule_of_five(view(spark, sf_dir, "v_mol").join(view(spark, sf_dir, "v_prop"), "mol_id"))
 
 
 @query(with_views("v_mol v_prop", f"with {_D_BOTH} select {_D_QUALITY} from both_"))
@@ -270,10 +271,10 @@ def i13_schedule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("run_id", "step", "tf_expected", "tf_logged", "rl_expected", "rl_logged"), 9)
 
 
-@query(with_views("v_metric", "select run_id, step, '{\"epoch\":\"' || step || '\",\"phase\":\"' || phase || '\",\"train_ppo_loss\":\"' || (step * 2) || '\",\"train_tf_prob\":\"' || step || '\"}' as record from v_metric"))
+@query(with_views("v_metric", "select run_id, step, to_json({epoch: step, phase: phase, timestamp: null, train_loss: loss, train_reconstruction_loss: null, train_perplexity: null, train_accuracy: step / 8.0::double, train_entropy: null, val_loss: null, val_reconstruction_loss: null, val_perplexity: null, val_accuracy: null, val_entropy: null, learning_rate: 0.25::double, train_ppo_loss: step * 2, train_tf_prob: step})::varchar as record from v_metric"))
 def i18_metric_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.create_map(F.lit("ppo_loss"), F.col("step") * 2, F.lit("loss_scalar"), F.col("step"), F.lit("tf_prob"), F.col("step"))
-    return view(spark, sf_dir, "v_metric").select("run_id", "step", runs.metric_record({"epoch": F.col("step"), "phase": F.col("phase")}, extra).alias("record"))
+    return view(spark, sf_dir, "v_metric").select("run_id", "step", runs.metric_record({"epoch": F.col("step"), "phase": F.col("phase"), "train_loss": F.col("loss"), "train_accuracy": F.col("step") / 8, "learning_rate": F.lit(0.25)}, extra).alias("record"))
 
 
 @query("with w as (select time_bucket(interval '10 minutes', ts) as start, count(*) as n from events group by 1) select start, n::bigint as n, (sum(n) over (order by start))::bigint as cumulative from w")

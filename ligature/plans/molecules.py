@@ -200,14 +200,9 @@ def c12_unknown_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RO5 = "(mw > 500)::int + (logp > 5)::int + (hbd > 5)::int + (hba > 10)::int"
 
 
-def rule_of_five(df: DataFrame) -> DataFrame:
-    n = sum(((F.col(c) > most).cast("int") for c, most in (("logp", 5), ("hbd", 5), ("hba", 10))), (F.col("mw") > 500).cast("int"))
-    return df.withColumn("lipinski_violations", n).withColumn("is_drug_like", F.col("lipinski_violations") <= 1)
-
-
 @query(with_views("v_prop", f"select mol_id, {_RO5} as lipinski_violations, {_RO5} <= 1 as is_drug_like from v_prop"))
 def c14_rule_of_five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_of_five(view(spark, sf_dir, "v_prop")).select("mol_id", "lipinski_violations", "is_drug_like")
+    return clean.rule_of_five(view(spark, sf_dir, "v_prop")).select("mol_id", "lipinski_violations", "is_drug_like")
 
 
 @query(with_views("v_mol v_prop", f"with {FILTER} select case when reason = 'valid' then 'passed' else reason end as outcome, count(*)::bigint as n, min(case when reason = 'valid' then part else smiles end) as first_string from judged group by 1"))
@@ -243,28 +238,7 @@ def c17_pair_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views("v_seq v_mol", f"with {PAIRS} select count(*)::bigint as total, count(*) filter (outcome = 'ok')::bigint as successful, count(*) filter (outcome = 'failed_pocket')::bigint as failed_pocket, count(*) filter (outcome = 'invalid_length')::bigint as invalid_length, count(*) filter (outcome = 'failed_smiles')::bigint as failed_smiles, round(100.0 * count(*) filter (outcome = 'ok')::double / count(*), 6) as success_pct, count(*) filter (outcome = 'ok' and affinity is not null)::bigint as affinity_found, count(*) filter (outcome = 'ok' and affinity is null)::bigint as affinity_missing, round(avg(coalesce(affinity, 5.0)) filter (outcome = 'ok'), 6) as mean_affinity, min(coalesce(affinity, 5.0)) filter (outcome = 'ok') as min_affinity, max(coalesce(affinity, 5.0)) filter (outcome = 'ok') as max_affinity, round(avg(length(pocket)) filter (outcome = 'ok'), 6) as mean_length, (min(length(pocket)) filter (outcome = 'ok'))::bigint as min_length, (max(length(pocket)) filter (outcome = 'ok'))::bigint as max_length from outcomes"))
 def e10_funnel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel_report(clean.fill_affinity(clean.with_outcome(_pairs(spark, sf_dir))))
-
-
-def funnel_report(df: DataFrame) -> DataFrame:
-    """Counts by outcome, and affinity and pocket length of the successful pairs; rates of an empty table are 0."""
-    ok = F.col("outcome") == "ok"
-    size = F.length("pocket")
-    count = lambda test, name: F.count_if(test).alias(name)
-    return df.agg(
-        F.count("*").alias("total"),
-        count(ok, "successful"),
-        *[count(F.col("outcome") == x, x) for x in ("failed_pocket", "invalid_length", "failed_smiles")],
-        F.round(F.coalesce(F.try_divide(100.0 * F.count_if(ok), F.count("*")), F.lit(0.0)), 6).alias("success_pct"),
-        count(ok & F.col("affinity_found"), "affinity_found"),
-        count(ok & ~F.col("affinity_found"), "affinity_missing"),
-        F.round(F.avg(F.when(ok, F.col("affinity"))), 6).alias("mean_affinity"),
-        F.min(F.when(ok, F.col("affinity"))).alias("min_affinity"),
-        F.max(F.when(ok, F.col("affinity"))).alias("max_affinity"),
-        F.round(F.avg(F.when(ok, size)), 6).alias("mean_length"),
-        F.min(F.when(ok, size)).cast("long").alias("min_length"),
-        F.max(F.when(ok, size)).cast("long").alias("max_length"),
-    )
+    return clean.funnel_report(clean.fill_affinity(clean.with_outcome(_pairs(spark, sf_dir))))
 
 
 @query(with_views("v_mol", f"with {CLEAN} select case when rn > 1 then 'Duplicate SMILES' else coalesce(reason, 'ok') end as outcome, count(*)::bigint as n from (select *, case when reason is null then row_number() over (partition by smiles, reason is null order by mol_id) else 1 end as rn from judged) group by 1"))

@@ -134,8 +134,7 @@ def d5_lookup_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(k % 2 == 0, deep).otherwise(F.concat(F.lit(f"x/{head}"), text(number), F.lit(f"_{tail}_0.pdb")))
 
     wanted = table(spark, sf_dir, "part").select(name("r", k % 50, "rec").alias("receptor"), name("l", 1 + k % 5, "lig").alias("ligand")).distinct()
-    found = pairs.affinity_table(pairs.types_log(view(spark, sf_dir, "v_types")), LOG_ORDER)
-    return pairs.lookup_affinity(wanted, found).select("receptor", "ligand", "affinity")
+    return pairs.lookup_in_log(wanted, pairs.types_log(view(spark, sf_dir, "v_types")), LOG_ORDER).select("receptor", "ligand", "affinity")
 
 
 @query(with_views("v_mol", f"with e as (select mol_id, list_transform({d_tokens('smiles')}, lambda t: list_position([{quoted(_VOCAB)}], t) - 1) as ids, list_filter({d_tokens('smiles')}, lambda t: list_contains([{quoted(_VOCAB)}], t)) as known from v_mol) select mol_id, array_to_string(list_filter(ids, lambda i: i is not null and i >= 0), ',') as ids, len(list_filter(ids, lambda i: coalesce(i, -1) < 0))::bigint as n_unknown, array_to_string(known, '') as decoded from e where len(ids) > 0"))

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import SPECIALS
+from ..operators.order import with_position
 
 #: Strings that count as missing in CSV cells.
 MISSING = ["", "NA", "N/A", "null", "NULL", "NaN", "nan", "None"]
 
 
+#: The order of the lines of read_types_log(), in which the last of a key wins.
+TYPES_ORDER = ["file", "block", "line_no"]
+#: Archives above this many bytes are read from their store in a stream, others through Spark's reader.
+STREAM_BYTES = 1 << 30
+
+
 def _missing(c: Column) -> Column:
     return F.when(~c.isin(MISSING), c)
 
@@ -47,11 +56,16 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, max_pairs: int = 0) -> DataFrame:
-    """(protein_file, ligand_file, pair_id, affinity) from CSV with a header; the last two are optional."""
+    """(protein_file, ligand_file, pair_id, affinity) from CSV with a header; the last two are optional, and a pair
+    without an id is named by the number of its row."""
     df = spark.read.option("header", True).csv(path)
     df = df.limit(max_pairs) if max_pairs else df
+    if "pair_id" not in df.columns or df.filter("pair_id is null").limit(1).count():
+        df = with_position(df.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "_number")
+    else:
+        df = df.withColumn("_number", F.lit(0))
     given = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    default = F.concat(F.lit("pair_"), F.monotonically_increasing_id().cast("string"))
+    default = F.concat(F.lit("pair_"), F.col("_number").cast("string"))
     return df.select("protein_file", "ligand_file", F.coalesce(given("pair_id"), default).alias("pair_id"), given("affinity").try_cast("double").alias("affinity"))
 
 
@@ -81,36 +95,52 @@ def read_pdb_atoms(spark: SparkSession, path: str, drop_hydrogen: bool = True) -
     return atoms.filter("upper(element) <> 'H'") if drop_hydrogen else atoms
 
 
-def list_tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, size, pocket, file, kind) of structure files in archives, a task an archive."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def _members(spark: SparkSession, path: str, schema: str, rows: Callable[[str, tarfile.TarFile], Iterator[tuple]], stream_bytes: int) -> DataFrame:
+    """``rows`` of each archive, a task an archive. A cell holds 2 GB at most, so larger archives are opened where they
+    lie and read member by member."""
+    files = spark.read.format("binaryFile").load(path)
+    small, large = files.filter(F.col("length") <= stream_bytes).select("path", "content"), files.filter(F.col("length") > stream_bytes).select("path")
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frames(archive: str, tar: tarfile.TarFile) -> Iterator[pd.DataFrame]:
+        for row in rows(archive, tar):
+            yield pd.DataFrame([row], columns=names)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"]):
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    rows = [(archive, m.name, m.size) for m in tar if m.isfile()]
-                yield pd.DataFrame(rows, columns=["archive", "member", "size"])
+                    yield from frames(archive, tar)
+
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive in batch["path"]:
+                store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", archive))
+                with store.open_input_stream(place, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+                    yield from frames(archive, tar)
 
-    found = files.mapInPandas(members, "archive string, member string, size long")
+    return small.mapInPandas(whole, schema).unionByName(large.mapInPandas(streamed, schema))
+
+
+def list_tar_members(spark: SparkSession, path: str, stream_bytes: int = STREAM_BYTES) -> DataFrame:
+    """(archive, member, size, pocket, file, kind) of structure files in archives, a task an archive."""
+
+    def names(archive: str, tar: tarfile.TarFile) -> Iterator[tuple]:
+        return ((archive, m.name, m.size) for m in tar if m.isfile())
+
+    found = _members(spark, path, "archive string, member string, size long", names, stream_bytes)
     parts = found.withColumn("p", F.split("member", "/")).filter("size(p) = 3 and p[0] = 'crossdocked'")
     kind = F.when(F.col("member").endswith("_rec.pdb"), "rec").when(F.col("member").endswith("_lig.pdb"), "lig")
     return parts.select("archive", "member", "size", F.col("p")[1].alias("pocket"), F.col("p")[2].alias("file"), kind.alias("kind")).filter("kind is not null")
 
 
-def read_tar_members(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+def read_tar_members(spark: SparkSession, path: str, wanted: DataFrame, stream_bytes: int = STREAM_BYTES) -> DataFrame:
     """(member, content) of the wanted members (member); contents stay in the task, no temporary files."""
-    files = spark.read.format("binaryFile").load(path).select("content")
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile():
-                            yield pd.DataFrame({"member": [m.name], "content": [tar.extractfile(m).read()]})
+    def contents(archive: str, tar: tarfile.TarFile) -> Iterator[tuple]:
+        return ((m.name, tar.extractfile(m).read()) for m in tar if m.isfile())
 
-    return files.mapInPandas(members, "member string, content binary").join(wanted.select("member").distinct(), "member", "left_semi")
+    return _members(spark, path, "member string, content binary", contents, stream_bytes).join(wanted.select("member").distinct(), "member", "left_semi")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -130,9 +160,10 @@ def existing_pairs(pairs: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def read_types_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of log files; line numbers follow the order within a file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    return lines
+    """(file, block, line_no, line) of log files, in the order TYPES_ORDER: files by name, their splits by place, lines
+    within a split. Bytes that are no UTF-8 are left out."""
+    line = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), line.alias("line"))
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from ligature.functions.tokens import default_vocabulary
-from ligature.operators import clean, ledger, plugs, vocab
+from ligature.operators import clean, ledger, pairs, plugs, vocab
 from ligature.sources import readers, writers
 from ligature.streaming import jobs
 
@@ -32,6 +32,22 @@ def test_ragged_csv(spark, tmp_path):
     assert sorted(map(tuple, readers.read_pairs(spark, four).collect()), key=str) == [("CC", "MK", 5.5, "p1"), ("CF", "MK", None, "p"), ("CO", "MK", 1.0, None)]
     rows = readers.read_manifest(spark, put(tmp_path / "m.csv", "protein_file,ligand_file\na,b\nc,d\n"), 1).collect()
     assert len(rows) == 1 and rows[0]["pair_id"] == "pair_0" and rows[0]["affinity"] is None
+    long = put(tmp_path / "long.csv", "protein_file,ligand_file,pair_id\n" + "".join(f"a{i},b,{'own' if i == 7 else ''}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        named = {r["protein_file"]: r["pair_id"] for r in readers.read_manifest(spark, long).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert named == {f"a{i}": "own" if i == 7 else f"pair_{i}" for i in range(3000)}
+
+
+def test_types_log_leaves_out_bytes_that_are_no_text(spark, tmp_path):
+    for name, value in (("b.types", 2), ("a.types", 1)):
+        (tmp_path / name).write_bytes(b"# c\n1 0.5 9.5 r_\xff\xferec l\n" + f"1 0.5 {value}.0 x y\n".encode())
+    log = pairs.types_log(readers.read_types_log(spark, str(tmp_path / "*.types")))
+    assert sorted({r["receptor"] for r in log.collect()}) == ["r_rec", "x"]
+    table = pairs.affinity_table(log, readers.TYPES_ORDER)
+    assert {r["affinity"] for r in table.filter("rec_key = 'x'").collect()} == {2.0}
 
 
 def test_sdf_gives_every_record(spark, tmp_path):
@@ -58,6 +74,11 @@ def test_structure_files(spark, tmp_path):
     assert sorted((r["pocket"], r["file"], r["kind"]) for r in found.collect()) == [("P", "x_rec.pdb", "rec"), ("P", "y_lig.pdb", "lig")]
     some = readers.read_tar_members(spark, str(archive), found.filter("kind = 'lig'")).collect()
     assert [(r["member"], bytes(r["content"])) for r in some] == [("crossdocked/P/y_lig.pdb", b"abc")]
+    # as an archive too large for a cell: opened where it lies, read in a stream
+    far = readers.list_tar_members(spark, str(archive), stream_bytes=0)
+    assert sorted(map(tuple, far.collect())) == sorted(map(tuple, found.collect()))
+    some = readers.read_tar_members(spark, str(archive), far.filter("kind = 'lig'"), stream_bytes=0).collect()
+    assert [(r["member"], bytes(r["content"])) for r in some] == [("crossdocked/P/y_lig.pdb", b"abc")]
     listing = readers.list_files(spark, str(tmp_path / "p"))
     assert listing.count() == 1 and readers.total_bytes(listing).first()["bytes"] == len(text)
     path = listing.first()["path"]

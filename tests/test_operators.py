@@ -1,5 +1,8 @@
+import json
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ligature.functions.tokens import tokens
@@ -63,6 +66,24 @@ def test_positions_splits_and_shards(spark):
     assert order.with_position(df.limit(0), ["k"]).count() == 0
 
 
+def test_positions_of_tied_first_columns(spark):
+    """Most rows share one value of the first column; none of the ranges holds most of them."""
+    df = spark.range(4000).select(F.when(F.col("id") % 10 < 9, 5).otherwise(F.col("id") % 7).alias("k"), (F.col("id") * 7919 % 4001).alias("j"), F.col("id").cast("string").alias("s")).repartition(5)
+    for keys in (["k", "j"], ["k", "s"], ["k", "j", "s"]):
+        got = sorted(order.with_position(df, keys).collect(), key=lambda r: r["idx"])
+        assert [r["idx"] for r in got] == list(range(4000)) and [[r[c] for c in keys] for r in got] == sorted([r[c] for c in keys] for r in got)
+    plan = order.with_position(df, ["k", "j"])._jdf.queryExecution().toString()
+    assert "_part" in plan
+    odd = frame(spark, [(None, 1), (2.0, 2), (float("nan"), 3), (2.0, 1)], "k double, j int")
+    assert [(r["idx"], r["j"]) for r in order.with_position(odd, ["k", "j"]).orderBy("idx").collect()] == [(0, 1), (1, 1), (2, 2), (3, 3)]
+
+
+def test_spread_deals_few_parts_to_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert order.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
+    assert order.spread(spark.range(10, numPartitions=cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
 def test_padding(spark):
     df = frame(spark, [(0, [1, 2]), (1, [1, 2, 3, 4]), (2, [9])], "idx long, ids array<int>")
     got = {r["idx"]: (r["ids"], r["mask"]) for r in splits.pad_batches(df, "ids", 2, 3).collect()}
@@ -115,6 +136,45 @@ def test_grammar_state_by_loop(spark):
     assert candidates.grammar_audit(bad, "k", "t", strict=True).first()["rule"] == "bond_after_paren"
 
 
+@pytest.mark.parametrize("gamma,lam", [(0.99, 0.95), (1.0, 1.0), (0.9, 0.1), (0.5, 0.0), (0.001, 0.5)])
+def test_advantages_of_long_sequences(spark, gamma, lam):
+    rnd = random.Random(1)
+    rows = [(k, i, rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for k, n in ((1, 9000), (2, 64), (3, 65), (4, 1), (5, 4097)) for i in range(n)]
+    out = {(r["seq_id"], r["step"]): (r["advantage"], r["returns"]) for r in runs.gae(frame(spark, rows, "seq_id long, step int, value double, reward double").repartition(3), gamma, lam).collect()}
+    assert len(out) == len(rows)
+    after, last = 0.0, None
+    for k, i, value, reward in sorted(rows, key=lambda r: (r[0], -r[1])):
+        if k != last:
+            follow, after, last = 0.0, 0.0, k
+        after = reward + gamma * follow - value + gamma * lam * after
+        follow = value
+        assert abs(out[k, i][0] - after) < 1e-8 and abs(out[k, i][1] - after - value) < 1e-8
+
+
+def test_ledger_counts_the_first_of_each_key(spark):
+    rows = [(1, "C", None), (2, "C", None), (3, None, "bad"), (4, None, "bad"), (5, "O", "bad"), (6, "O", None), (7, None, None), (8, None, None)]
+    out = {r["n"]: r["outcome"] for r in ledger.ledger(frame(spark, rows, "n int, smiles string, reason string"), "smiles", "n").collect()}
+    assert out == {1: "ok", 2: "Duplicate SMILES", 3: "bad", 4: "bad", 5: "bad", 6: "ok", 7: "ok", 8: "Duplicate SMILES"}
+
+
+def test_metric_records_hold_numbers(spark):
+    fixed = {"epoch": F.lit(3), "phase": F.lit("a"), "train_loss": F.lit(0.5)}
+    df = spark.range(1).select(runs.metric_record(fixed, F.create_map(F.lit("ppo_x"), F.lit(1.5), F.lit("other"), F.lit(2.0))).alias("a"), runs.metric_record({}, F.create_map(F.lit("z"), F.lit(1))).alias("b"))
+    one, two = (json.loads(x) for x in df.first())
+    assert one == dict.fromkeys(runs.FIXED_KEYS) | {"epoch": 3, "phase": "a", "train_loss": 0.5, "train_ppo_x": 1.5}
+    assert two == dict.fromkeys(runs.FIXED_KEYS)
+    with pytest.raises(ValueError):
+        runs.metric_record({"loss": F.lit(1)}, F.create_map(F.lit("z"), F.lit(1)))
+
+
+def test_lookup_in_the_log_agrees_with_the_whole_table(spark):
+    lines = [(k, f"1 0.5 {k}.5 r{k % 3}_rec_0 l{k % 4}_lig_0") for k in range(40)]
+    log = pairs.types_log(frame(spark, lines, "n int, line string"))
+    wanted = frame(spark, [(f"crossdocked/P/r{i}_rec.0", f"crossdocked/P/l{j}_lig.0") for i in range(4) for j in range(5)], "receptor string, ligand string")
+    one, two = pairs.lookup_in_log(wanted, log, ["n"]), pairs.lookup_affinity(wanted, pairs.affinity_table(log, ["n"]))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str) and one.filter("affinity is not null").count() == 12
+
+
 def test_advantages(spark):
     df = frame(spark, [(1, 0, 1.0, 0.0), (1, 1, 2.0, 1.0)], "seq_id long, step int, value double, reward double")
     assert {r["step"]: r["advantage"] for r in runs.gae(df, 1.0, 1.0).collect()} == {0: 0.0, 1: -1.0}
