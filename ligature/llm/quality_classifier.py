@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, ship, slices, span_hashes, sums_by_row, text_block, word_spans
-from .quality_rules import BITS, base_counts, bounded, dense, descend, labelled, platt, sparse
+from .quality_rules import BITS, base_counts, bounded, dense, descend, labelled, platt, sparse, stretch_sums
 
 CLASSES = [np.isin(np.arange(256), np.frombuffer(x, np.uint8)).astype(np.int64) for x in (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"!?", b"|", b"#*$%&<>@_~^=+{}[]\\/")]
 N_SHARES = 12
@@ -114,17 +114,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_entries: int
         return Evidence(np.zeros(1 << BITS, np.float32), None)
     dealt = mix(rows.column("doc_id").to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1))
     half, held = (dealt >> np.uint64(32)) % np.uint64(2) == 0, dealt % np.uint64(5) == 0
-    lists = rows.column("idx").combine_chunks()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    idx, share = lists.flatten().to_numpy(), rows.column("share").combine_chunks().flatten().to_numpy()
+    counted = np.array(rows.column("shares").combine_chunks().flatten()).reshape(len(y), N_SHARES)
+    lists, parts = rows.column("idx").combine_chunks(), rows.column("share").combine_chunks()
+    del rows  # the features are held once from here on
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    idx, share = lists.flatten().to_numpy(), parts.flatten().to_numpy()
     grams, score = np.zeros(1 << BITS), np.zeros(len(y))
     for own in (half, ~half):
         if len(set(y[own])) == 2:
             mine = own[row]
-            w, _ = descend(idx[mine], share[mine], (np.cumsum(own) - 1)[row[mine]], y[own], 60)
+            w, _ = descend(idx[mine], share[mine], (np.cumsum(own) - 1).astype(np.int32)[row[mine]], y[own], 60)
             grams += w / 2
-            score[~own] = np.bincount(row, weights=w[idx] * share, minlength=len(y))[~own]
-    x = np.column_stack([np.array(rows.column("shares").combine_chunks().flatten()).reshape(len(y), N_SHARES), score])
+            score[~own] = stretch_sums(w.astype(np.float32)[idx] * share, row, len(y))[~own]
+    x = np.column_stack([counted, score])
     if len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     mean, std = x.mean(0), x.std(0) + 1e-6

@@ -145,25 +145,29 @@ def bounded(rows: DataFrame, most_entries: int) -> DataFrame:
     return rows.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
 
 
+def stretch_sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values of each key below ``n``; keys ascend."""
+    out = np.zeros(n)
+    if len(key):
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        out[key[at]] = np.add.reduceat(values, at, dtype=np.float64)
+    return out
+
+
 def descend(idx: np.ndarray, share: np.ndarray, row: np.ndarray, y: np.ndarray, steps: int, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by full gradients with a step size of its own for each weight (AdaGrad); ``row`` ascends."""
     w, g2, bias, b2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-12), 0.0, 1e-12
     n = max(1, len(y))
-    # entries by row and by feature: sums of sorted stretches are faster than scattered ones
-    by_idx = np.argsort(idx, kind="stable")
-    rows, row_at = np.unique(row, return_index=True)
-    kinds, idx_at = np.unique(idx[by_idx], return_index=True)
-    row_by, share_by = row[by_idx].astype(np.int32), share[by_idx]
-    z, g = np.zeros(len(y)), np.zeros(1 << BITS)
+    # entries by feature too: sums of sorted stretches are faster than scattered ones
+    by_idx = np.argsort(idx, kind="stable").astype(np.int32)
+    row_by, share_by, idx_by = row[by_idx], share[by_idx], idx[by_idx]
+    del by_idx
     for _ in range(steps):
-        if len(rows):
-            z[rows] = np.add.reduceat(w[idx] * share, row_at)
+        z = stretch_sums(w.astype(np.float32)[idx] * share, row, len(y))
         error = (1 / (1 + np.exp(-np.clip(z + bias, -40, 40))) - y) / n
-        if len(kinds):
-            g[kinds] = np.add.reduceat(error[row_by] * share_by, idx_at)
-        step = g + decay * w / n
-        g2 += step * step
-        w -= rate * step / np.sqrt(g2)
+        g = stretch_sums(error.astype(np.float32)[row_by] * share_by, idx_by, 1 << BITS) + decay * w / n
+        g2 += g * g
+        w -= rate * g / np.sqrt(g2)
         gb = error.sum()
         b2 += gb * gb
         bias -= 0.3 * gb / np.sqrt(b2)
@@ -207,13 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 60, m
     if len(set(y)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 40.0)
     held = mix(rows.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(5) == 0
-    lists = rows.column("idx").combine_chunks()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    idx, share = lists.flatten().to_numpy(), rows.column("share").combine_chunks().flatten().to_numpy()
+    lists, shares = rows.column("idx").combine_chunks(), rows.column("share").combine_chunks()
+    del rows  # the features are held once from here on
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    idx, share = lists.flatten().to_numpy(), shares.flatten().to_numpy()
     own = ~held[row]
-    number = np.cumsum(~held) - 1
+    number = (np.cumsum(~held) - 1).astype(np.int32)
     w, bias = descend(idx[own], share[own], number[row[own]], y[~held], steps)
-    z = np.bincount(row, weights=w[idx] * share, minlength=len(y)) + bias
+    z = stretch_sums(w.astype(np.float32)[idx] * share, row, len(y)) + bias
     slope, shift = platt(z[held], y[held]) if held.any() else (1.0, 0.0)
     return Model(w.astype(np.float32), float(bias), slope, shift)
 
