@@ -355,10 +355,17 @@ def test_language_sums_cut_neither_words_nor_pieces(monkeypatch):
         assert abs((counts[: len(names), 1] * spelled).sum() - (61 + 2 + 16)) < 1e-3
 
 
-def test_language_sample_is_of_each_language(spark):
+def test_language_sample_is_of_each_language(spark, monkeypatch):
     data = [(i, "der die das und", "de", "s", 0) for i in range(3000)] + [(5000 + i, "le la les des", "fr", "s", 0) for i in range(3)]
     langs, _, _ = language_id.learn(spark.createDataFrame(data, SCHEMA), PIECES, most=20, rounds=1)
     assert langs == ["de", "fr"]
+    first = spark.createDataFrame(data, SCHEMA).filter("lang = 'de'").orderBy(F.xxhash64("doc_id")).limit(20).count()
+    kept = []
+    keep = language_id.materialise
+    monkeypatch.setattr(language_id, "materialise", lambda df, label: kept.append(keep(df, label)) or kept[-1])
+    language_id.learn(spark.createDataFrame(data, SCHEMA), PIECES, most=20, rounds=0)
+    sizes = {r["lang"]: r["count"] for r in kept[0].groupBy("lang").count().collect()}
+    assert sizes == {"de": first, "fr": 3}
 
 
 def test_language_id_on_held_out_texts(spark):
