@@ -40,11 +40,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors,
     and gives later joins a true size to decide on."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = f"{tables_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all tables that materialise() wrote in this application; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors, once a session."""
     if spark.conf.get("ligature.shipped", "") == spark.sparkContext.applicationId:

@@ -69,3 +69,16 @@ def test_components_of_chains_and_stars(spark):
     out = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
     assert all(out[k] == 0 for k in range(41)) and all(out[k] == 100 for k in range(100, 160)) and out[300] == out[200] == 200
     assert common.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
+def test_tables_are_cleared(spark, tmp_path):
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        made = common.materialise(spark.range(5), "five")
+        assert made.count() == 5 and list((tmp_path / "shared").rglob("*.parquet"))
+        common.clear_tables(spark)
+        assert not list((tmp_path / "shared").rglob("*.parquet"))
+        common.clear_tables(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
