@@ -71,14 +71,10 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
 
 
-def test_tables_are_cleared(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        made = common.materialise(spark.range(5), "five")
-        assert made.count() == 5 and list((tmp_path / "shared").rglob("*.parquet"))
-        common.clear_tables(spark)
-        assert not list((tmp_path / "shared").rglob("*.parquet"))
-        common.clear_tables(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+def test_tables_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda session: str(tmp_path / "shared"))
+    made = common.materialise(spark.range(5), "five")
+    assert made.count() == 5 and list((tmp_path / "shared").rglob("*.parquet"))
+    common.clear_tables(spark)
+    assert not list((tmp_path / "shared").rglob("*.parquet"))
+    common.clear_tables(spark)
