@@ -201,7 +201,8 @@ def learn(docs: DataFrame, path: str, most: int = 2000, rounds: int = 3) -> tupl
     ship(spark)
     docs = docs.filter("lang is not null and text is not null")
     # hashes are even, so those below 2 * most / n hold the smallest ``most`` of n, and only so many rows meet in a task
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    # the counts are a table of their own, so that Spark knows their size and filters before it shuffles
+    counts = materialise(docs.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
     below = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < F.lit(2.0 * most + 100) / F.col("n")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     some = materialise(docs.select("lang", "doc_id").join(counts, "lang").filter(below).withColumn("place", place).filter(F.col("place") <= most).select("lang", "doc_id"), "language-sample")

@@ -360,11 +360,10 @@ def test_language_sample_is_of_each_language(spark, monkeypatch):
     langs, _, _ = language_id.learn(spark.createDataFrame(data, SCHEMA), PIECES, most=20, rounds=1)
     assert langs == ["de", "fr"]
     first = spark.createDataFrame(data, SCHEMA).filter("lang = 'de'").orderBy(F.xxhash64("doc_id")).limit(20).count()
-    kept = []
-    keep = language_id.materialise
-    monkeypatch.setattr(language_id, "materialise", lambda df, label: kept.append(keep(df, label)) or kept[-1])
+    kept, keep = {}, language_id.materialise
+    monkeypatch.setattr(language_id, "materialise", lambda df, label: kept.setdefault(label, keep(df, label)))
     language_id.learn(spark.createDataFrame(data, SCHEMA), PIECES, most=20, rounds=0)
-    sizes = {r["lang"]: r["count"] for r in kept[0].groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in kept["language-sample"].groupBy("lang").count().collect()}
     assert sizes == {"de": first, "fr": 3}
 
 
