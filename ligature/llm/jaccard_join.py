@@ -29,8 +29,8 @@ from .common import Forest, components, materialise, mix, ship, slices, span_has
 
 #: At this tolerance a linked pair just above the threshold is dropped with about 1e-8.
 WIDTH, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
-#: A pair at 0.8 misses all bands with probability (1 - 0.8**5)**32 = 3e-6.
-BANDS, ROWS = 32, 5
+#: Values of a signature, and the probability with which a pair at the threshold may share no band (see band_rows()).
+VALUES, MISS = 160, 1e-5
 STEPS = (16, 32, 48, 64, 96, 128, 160)
 #: Texts of a block of a bucket; texts and bytes of shingles of a block of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 1024, 1024, 1 << 19
@@ -38,8 +38,8 @@ BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 1024, 1024, 1 << 19
 CLASSES, MOST_CLASSES = 16, 96
 
 _random = np.random.RandomState(7)
-_FACTORS = (_random.randint(1, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADDENDS = _random.randint(0, 1 << 31, BANDS * ROWS).astype(np.uint32)
+_FACTORS = (_random.randint(1, 1 << 31, VALUES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_ADDENDS = _random.randint(0, 1 << 31, VALUES).astype(np.uint32)
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -64,19 +64,29 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values (rows x BANDS * ROWS) of sets of which none is empty."""
+    """MinHash values (rows x VALUES) of sets of which none is empty."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
+    out = np.empty((len(sets), VALUES), np.uint32)
+    for k in range(VALUES):
         out[:, k] = np.minimum.reduceat(flat * _FACTORS[k] + _ADDENDS[k], at)
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(values), BANDS), np.uint64)
-    for k in range(ROWS):
-        key = mix(key * np.uint64(31) + values[:, k::ROWS].astype(np.uint64))
+def band_rows(threshold: float) -> int:
+    """Values of a band: as many as leave a pair at the threshold without a common band with MISS at most, as
+    (1 - 0.8**5)**32 = 3e-6 does. Fewer serve lower thresholds, with more buckets; below 0.07 none do."""
+    for rows in range(10, 0, -1):
+        if (1 - threshold**rows) ** (VALUES // rows) <= MISS:
+            return rows
+    raise ValueError(f"{VALUES} values can't find the pairs at a threshold of {threshold}")
+
+
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    bands = VALUES // rows
+    key = np.zeros((len(values), bands), np.uint64)
+    for k in range(rows):
+        key = mix(key * np.uint64(31) + values[:, k : bands * rows : rows].astype(np.uint64))
     return key
 
 
@@ -117,7 +127,7 @@ def survive(signs: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, in
     return mask
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, rows: int) -> DataFrame:
     """(doc_id, digest of the shingle set, bands, signs); null digest for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +137,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 values = signatures([s if len(s) else np.zeros(1, np.uint64) for s in sets])
-                keys = band_keys(values).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                keys = band_keys(values, rows).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 signs = [x.tobytes() for x in bytes_of(values)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(digests, pa.binary()), lists, pa.array(signs, pa.binary())], ["doc_id", "digest", "bands", "signs"])
 
@@ -173,7 +183,7 @@ def near_heads(members: DataFrame, least: dict[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs = np.concatenate([fixed_bytes(batch.column(c), BANDS * ROWS) for c in ("signs", "head_signs")])
+            signs = np.concatenate([fixed_bytes(batch.column(c), VALUES) for c in ("signs", "head_signs")])
             near = survive(signs, np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows, least)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(near)], [*names, "near"])
 
@@ -222,7 +232,7 @@ def forests(members: DataFrame, least: dict[int, int]) -> DataFrame:
         for table, group in whole_groups(batches, keys):
             rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
             cross = table.column("i").to_numpy() != table.column("j").to_numpy()
-            signs = fixed_bytes(table.column("signs"), BANDS * ROWS)
+            signs = fixed_bytes(table.column("signs"), VALUES)
             trees = Forest(len(rep))
             at, d = np.arange(len(rep)), 0
             while len(at):
@@ -254,7 +264,7 @@ def verified(members: DataFrame, least: dict[int, int], threshold: float) -> Dat
         for table, group in whole_groups(batches, keys):
             rep, own, copies = (table.column(c).to_numpy() for c in ("rep", "own", "copies"))
             cross = table.column("i").to_numpy() != table.column("j").to_numpy()
-            signs = fixed_bytes(table.column("signs"), BANDS * ROWS)
+            signs = fixed_bytes(table.column("signs"), VALUES)
             raw, offs = text_block(table.column("shingles"))
             values, bounds = np.frombuffer(raw.tobytes(), np.uint64), offs // 8
             sizes = np.diff(bounds)
@@ -340,12 +350,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     least. class_id: the smallest doc_id of those that hang together by links. A text of one to four words is
     one shingle; a null text and one without words has no links. Words are taken as they stand. Repeated rows
     are copies of each other; rows with a null doc_id come back, and count as copies at most. Further columns of
-    ``docs`` are left out.
+    ``docs`` are left out. A threshold below 0.07, at which MinHash values find too few pairs, is an error.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     least = least_matches(threshold, tolerance)
-    drawn = materialise(sketches(docs), "sketches")
+    drawn = materialise(sketches(docs, band_rows(threshold)), "sketches")
     reps = materialise(drawn.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     own = drawn.join(reps.select(F.col("rep").alias("doc_id"), "copies").hint("merge"), "doc_id").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     bands = materialise(own.select("rep", F.posexplode("bands").alias("band", "key")), "bands")

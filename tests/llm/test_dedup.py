@@ -54,7 +54,7 @@ def test_chunks_are_cut_by_content():
     assert all(b - a <= exact_dedup.MAX for a, b in zip([0, *ends], ends))
 
 
-def brute_links(data):
+def brute_links(data, threshold=0.8):
     sets = {}
     for i, t, *_ in data:
         w = WORD.findall(t or "")
@@ -68,7 +68,7 @@ def brute_links(data):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 links[i] += 1
                 links[j] += 1
                 a, b = root(i), root(j)
@@ -117,6 +117,26 @@ def test_jaccard_join_of_clusters_with_near_and_far_texts(spark, monkeypatch, bl
     assert len({k for _, k in want.values()}) > 10
 
 
+@pytest.mark.parametrize("threshold, bands", [(0.3, 160), (0.5, 80), (0.8, 32), (0.95, 16)])
+def test_jaccard_join_at_other_thresholds(spark, threshold, bands):
+    """The bands follow from the threshold, so lower ones lose no pairs either."""
+    rnd = np.random.RandomState(4)
+    assert jaccard_join.VALUES // jaccard_join.band_rows(threshold) == bands
+    data = rows()
+    for c in range(30):
+        words = [f"c{c}w{k}" for k in range(80)]
+        for edits in range(6):
+            at = set(rnd.choice(80, edits * 2, replace=False).tolist())
+            data.append((2000 + len(data), " ".join("x" if k in at else w for k, w in enumerate(words)), "en", "s", 0))
+    out = got(jaccard_join.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(4), threshold))
+    assert {i: (r["class_id"], r["n_links"]) for i, r in out.items()} == brute_links(data, threshold)
+
+
+def test_jaccard_join_refuses_a_threshold_it_cannot_serve(spark):
+    with pytest.raises(ValueError):
+        jaccard_join.near_duplicates(docs(spark), 0.01)
+
+
 def test_jaccard_join_of_a_cluster_of_thousands(spark, monkeypatch):
     """Lightly edited copies of one text are counted by classes, without any pair of blocks; a few heavy ones meet them."""
     rnd = np.random.RandomState(4)
