@@ -182,8 +182,9 @@ def cluster(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
     centroids = np.array([r["v"] for r in starts], np.float64).astype(np.int64).reshape(-1, dims)
     if not len(centroids):
         return spark.createDataFrame([], "vec_id long, cluster int, distance long"), centroids, []
-    # rows as the footers count them; a bucket is a task's work and holds some 64 MB
-    buckets = max(spark.sparkContext.defaultParallelism, -(-df.select().count() // (BLOCK * BUCKET_BLOCKS)))
+    # rows as the footers count them; a bucket is a task's work and holds some 64 MB, less where cores would idle
+    n_blocks = -(-df.select().count() // BLOCK)
+    buckets = max(min(n_blocks, spark.sparkContext.defaultParallelism), -(-n_blocks // BUCKET_BLOCKS))
     name = f"ligature_{uuid.uuid4().hex}"
 
     def store(rows: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroid_clusters, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, suffix_dedup
+from . import bpe, centroid_clusters, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mixing, op3_language_id, op4_byte_bpe, op5_html_extraction, op6_line_dedup, op7_exact_dedup, op8_quality_rules, op9_quality_classifier, op10_suffix_dedup, op11_centroid_clusters, op12_periodic_runs)}
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
 
-ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op11_centroid_clusters": centroid_clusters.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mixing, op3_language_id, op4_byte_bpe, op5_html_extraction, op6_line_dedup, op7_exact_dedup, op8_quality_rules, op9_quality_classifier, op10_suffix_dedup, op11_centroid_clusters, op12_periodic_runs, op13_warc_archives)}
+
+ORACLES: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op11_centroid_clusters": centroid_clusters.ORACLE, "op13_warc_archives": warc.ORACLE}
