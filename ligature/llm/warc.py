@@ -109,8 +109,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, time: str | No
     groups = rows.groupBy("payload_digest", "check", "n_bytes").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     groups = materialise(groups, "payloads")
     n, size = groups.agg(F.sum("n"), F.sum(F.col("n") * F.col("n_bytes"))).first()
-    # only payloads that occur twice; their size decides whether pages move to meet them, adaptive execution splits hot ones
-    shared = groups.filter(f"n > 1 and n_bytes >= {int(least)}").select("payload_digest", "check", "first")
+    # payloads that occur twice, stored: their true size decides whether pages move to meet them; adaptive execution splits hot ones
+    shared = materialise(groups.filter(f"n > 1 and n_bytes >= {int(least)}").select("payload_digest", "check", "first"), "shared-payloads")
     joined = rows.join(shared, ["payload_digest", "check"], "left")
     first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     most = max(1, int(archive_bytes * (n or 0) // max(size or 0, 1000 * (n or 0), 1)))
