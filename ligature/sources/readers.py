@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import re
 import tarfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyarrow import fs
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import SPECIALS
 from ..operators.order import with_position
+from .archives import BATCH_BYTES, SPLIT_BYTES, parsed_members, read_indexed, tar_index
 
 #: Strings that count as missing in CSV cells.
 MISSING = ["", "NA", "N/A", "null", "NULL", "NaN", "nan", "None"]
@@ -21,8 +19,8 @@ MISSING = ["", "NA", "N/A", "null", "NULL", "NaN", "nan", "None"]
 
 #: The order of the lines of read_types_log(), in which the last of a key wins.
 TYPES_ORDER = ["file", "block", "line_no"]
-#: Archives above this many bytes are read from their store in a stream, others through Spark's reader.
-STREAM_BYTES = 1 << 30
+#: Archives above this many bytes are read where they lie by ranges, others through Spark's reader.
+STREAM_BYTES = SPLIT_BYTES
 
 
 def _missing(c: Column) -> Column:
@@ -95,52 +93,61 @@ def read_pdb_atoms(spark: SparkSession, path: str, drop_hydrogen: bool = True) -
     return atoms.filter("upper(element) <> 'H'") if drop_hydrogen else atoms
 
 
-def _members(spark: SparkSession, path: str, schema: str, rows: Callable[[str, tarfile.TarFile], Iterator[tuple]], stream_bytes: int) -> DataFrame:
-    """``rows`` of each archive, a task an archive. A cell holds 2 GB at most, so larger archives are opened where they
-    lie and read member by member."""
+def _archives(spark: SparkSession, path: str, stream_bytes: int) -> tuple[DataFrame, list[str], int]:
+    """The small archives with their bytes, and the paths and the size of the large ones, from their listing."""
     files = spark.read.format("binaryFile").load(path)
-    small, large = files.filter(F.col("length") <= stream_bytes).select("path", "content"), files.filter(F.col("length") > stream_bytes).select("path")
-    names = [c.split()[0] for c in schema.split(", ")]
+    large = files.filter(F.col("length") > stream_bytes).select("path", "length").collect()  # names of files, as Spark's own listing
+    return files.filter(F.col("length") <= stream_bytes).select("path", "content"), [r["path"] for r in large], sum(r["length"] for r in large)
 
-    def frames(archive: str, tar: tarfile.TarFile) -> Iterator[pd.DataFrame]:
-        for row in rows(archive, tar):
-            yield pd.DataFrame([row], columns=names)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    yield from frames(archive, tar)
+def _small_index(small: DataFrame, content: bool) -> DataFrame:
+    """(archive, member, size), or with ``content`` that too, of archives that came as bytes, many members a batch."""
+    last = pa.field("content", pa.binary()) if content else pa.field("size", pa.int64())
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), last])
 
-    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for archive in batch["path"]:
-                store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", archive))
-                with store.open_input_stream(place, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
-                    yield from frames(archive, tar)
+            for archive, whole in zip(batch.column("path"), batch.column("content")):
+                with tarfile.open(fileobj=pa.BufferReader(whole.as_buffer()), mode="r:*") as tar:
+                    for info in tar:
+                        if info.isfile():
+                            rows.append((archive.as_py(), info.name, tar.extractfile(info).read() if content else info.size))
+                            held += info.size if content else 0
+                            if held >= BATCH_BYTES or len(rows) == 10000:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return small.mapInPandas(whole, schema).unionByName(large.mapInPandas(streamed, schema))
+    return small.mapInArrow(run, f"archive string, member string, {'content binary' if content else 'size long'}")
 
 
 def list_tar_members(spark: SparkSession, path: str, stream_bytes: int = STREAM_BYTES) -> DataFrame:
-    """(archive, member, size, pocket, file, kind) of structure files in archives, a task an archive."""
-
-    def names(archive: str, tar: tarfile.TarFile) -> Iterator[tuple]:
-        return ((archive, m.name, m.size) for m in tar if m.isfile())
-
-    found = _members(spark, path, "archive string, member string, size long", names, stream_bytes)
-    parts = found.withColumn("p", F.split("member", "/")).filter("size(p) = 3 and p[0] = 'crossdocked'")
+    """(archive, member, size, pocket, file, kind) of structure files in archives, a task an archive. Of an archive above
+    ``stream_bytes`` only the headers are read, and the test on the first folder runs in the walk."""
+    small, large, _ = _archives(spark, path, stream_bytes)
+    found = _small_index(small, False).unionByName(tar_index(spark, large).select("archive", "member", "size")).filter(F.col("member").startswith("crossdocked/"))
+    parts = found.withColumn("p", F.split("member", "/")).filter("size(p) = 3")
     kind = F.when(F.col("member").endswith("_rec.pdb"), "rec").when(F.col("member").endswith("_lig.pdb"), "lig")
     return parts.select("archive", "member", "size", F.col("p")[1].alias("pocket"), F.col("p")[2].alias("file"), kind.alias("kind")).filter("kind is not null")
 
 
-def read_tar_members(spark: SparkSession, path: str, wanted: DataFrame, stream_bytes: int = STREAM_BYTES) -> DataFrame:
-    """(member, content) of the wanted members (member); contents stay in the task, no temporary files."""
+def read_tar_members(spark: SparkSession, path: str, wanted: DataFrame, stream_bytes: int = STREAM_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(member, content) of the wanted members (member); a name that an archive has twice comes twice.
+
+    Archives above ``stream_bytes`` are joined by their index, so only wanted contents are read, ``split_bytes`` of an
+    archive a task; smaller ones come through Spark's reader, from any store, and are joined after."""
+    small, large, size = _archives(spark, path, stream_bytes)
+    names = wanted.select("member").distinct()
+    near = _small_index(small, True).join(names, "member", "left_semi")
+    far = read_indexed(tar_index(spark, large).join(names, "member", "left_semi"), size, split_bytes)
+    return near.select("member", "content").unionByName(far.select("member", "content"))
 
-    def contents(archive: str, tar: tarfile.TarFile) -> Iterator[tuple]:
-        return ((m.name, tar.extractfile(m).read()) for m in tar if m.isfile())
 
-    return _members(spark, path, "member string, content binary", contents, stream_bytes).join(wanted.select("member").distinct(), "member", "left_semi")
+def parse_tar_members(spark: SparkSession, path: str, wanted: DataFrame, parse: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that ``parse`` makes of each wanted member, in the task that reads it."""
+    return parsed_members(read_tar_members(spark, path, wanted), parse, schema)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
