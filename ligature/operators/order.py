@@ -6,25 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .scan import positions
+
 #: Ranges of the rows that share a value of the first column.
 SUB = 16
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "idx", parts: int | None = None) -> DataFrame:
-    """Adds the 0-based position in the order of ``order``, of which the first is a number, without a global window.
+    """Adds the 0-based position in the order of ``order``, without a global window.
 
-    Rows are dealt to ranges of the first column between approximate quantiles (``parts`` numbers, fixed before
+    Where the first two columns are numbers, and the first is seldom null, rows are dealt to ranges of the first column between approximate quantiles (``parts`` numbers, fixed before
     use, so every pass deals alike), counted by range, and numbered within their range from the count of those
-    before. A quantile is a range of its own, and is dealt again by the second column if that is a number, so a value
+    before. A quantile is a range of its own, and is dealt again by the second column, so a value
     that many rows share doesn't gather in one task. Only the ranges' counts, a row each, pass through one window.
+    Other keys go by Spark's ranges of the whole key, which are stored (scan.positions).
     """
+    if not all(isinstance(df.schema[c].dataType, NumericType) for c in order[:2]):
+        return positions(df, list(order), name)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order[0]).cast("double")
-    edges = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []
+    edges, unknown, n = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5]), F.count_if(key.isNull()), F.count("*")).first()
+    if unknown * parts > n:
+        return positions(df, list(order), name)
+    edges = edges or []
     known = F.array(*map(F.lit, sorted(set(edges)))).cast("array<double>")
     dealt = F.size(F.filter(known, lambda e: e < key)) * 2 + F.array_contains(known, F.coalesce(key, F.lit(float("nan")))).cast("int")
     ranged = df.withColumn("_part", (dealt * SUB).cast("long"))
-    if len(order) > 1 and isinstance(df.schema[order[1]].dataType, NumericType):
+    if len(order) > 1:
         second = F.col(order[1]).cast("double")
         cuts = ranged.filter(f"_part % {2 * SUB} = {SUB}").groupBy("_part").agg(F.percentile_approx(second, [i / SUB for i in range(1, SUB)]).alias("e")).collect()  # ``parts`` rows of SUB numbers
         if cuts:

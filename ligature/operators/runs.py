@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import rl_weight, tf_prob
+from .scan import LONGEST, by_length, segments
 
 # Keys that each metric record has, and names of the added ones.
 FIXED_KEYS = (
@@ -25,18 +26,31 @@ def epoch_metrics(df: DataFrame, keys: list[str], values: list[str], rl: Column)
     return df.groupBy(*keys).agg(F.count("*").alias("batches"), F.count_if(rl).alias("rl_batches"), *means)
 
 
-def stability(df: DataFrame, run: str = "run_id", step: str = "step", patience: int = 200, min_loss: float = 1e-6, max_grad: float = 10.0, warm: int = 50) -> DataFrame:
+def stability(df: DataFrame, run: str = "run_id", step: str = "step", patience: int = 200, min_loss: float = 1e-6, max_grad: float = 10.0, warm: int = 50, longest: int = LONGEST) -> DataFrame:
     """Adds steps_since_best, four alarms, trend, grad_stability and is_unstable to (run, step, loss, grad_norm).
 
-    Nothing is said before step ``warm``. Frames of 5, 10 and 20 rows; only the running best looks back further.
+    Nothing is said before step ``warm``. Frames of 5, 10 and 20 rows; only the running best looks back further. Runs
+    of more than ``longest`` rows go in segments that get the best so far and the 19 rows before them. A loss that is null or NaN is no gain.
     """
-    at = Window.partitionBy(run).orderBy(step)
+    limits = (patience, min_loss, max_grad, warm)
+    short, long = by_length(df, run, longest)
+    numbered = short.withColumn("_n", F.row_number().over(Window.partitionBy(run).orderBy(step)).cast("long"))
+    gain = F.when(~F.isnan("loss") & F.col("loss").isNotNull(), F.struct(F.col("loss").alias("value"), F.col("_n").alias("n")))
+    out = _judged(numbered.withColumn("_best", gain), [run], *limits).drop("_n", "_best")
+    if long is None:
+        return out
+    cut = _judged(segments(long, run, [step], halo=19, least="loss"), [run, "_seg"], *limits)
+    return out.unionByName(cut.filter("_own").select(*out.columns))
+
+
+def _judged(rows: DataFrame, keys: list[str], patience: int, min_loss: float, max_grad: float, warm: int) -> DataFrame:
+    """The verdicts of rows with their number _n and _best, by windows over ``keys``."""
+    at = Window.partitionBy(*keys).orderBy("_n")
     last = lambda n: at.rowsBetween(-(n - 1), 0)
     finite = ~F.isnan("loss") & (F.abs("loss") != float("inf"))
-    best = F.min(F.when(~F.isnan("loss"), F.col("loss"))).over(at.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_n", F.row_number().over(at)).withColumn("_better", F.coalesce(F.col("loss") < best, ~F.isnan("loss")))
-    since = F.col("_n") - F.coalesce(F.max(F.when(F.col("_better"), F.col("_n"))).over(at.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    rows = rows.withColumn("steps_since_best", since.cast("long"))
+    # the first row of those with the least loss so far is where the loss fell last
+    gained = F.min("_best").over(at.rowsBetween(Window.unboundedPreceding, 0))["n"]
+    rows = rows.withColumn("steps_since_best", (F.col("_n") - F.coalesce(gained, F.lit(0))).cast("long"))
     warmed = F.col("_n") >= warm
     low = F.min((F.col("loss") < min_loss).cast("int")).over(last(10)) == 1
     steep = F.max((F.col("grad_norm") > max_grad).cast("int")).over(last(10)) == 1
@@ -48,7 +62,7 @@ def stability(df: DataFrame, run: str = "run_id", step: str = "step", patience:
     grad = F.when(F.col("_n") < 20, "insufficient_data").when(spread > 2.0, "unstable").otherwise("stable")
     alarms = {"numerical_instability": low, "exploding_gradients": steep, "non_finite_loss": broken, "complete_stagnation": flat}
     out = rows.withColumns({k: F.coalesce(warmed & v, F.lit(False)) for k, v in alarms.items()} | {"trend": F.when(warmed, trend), "grad_stability": F.when(warmed, grad)})
-    return out.withColumn("is_unstable", F.col("numerical_instability") | F.col("exploding_gradients") | F.col("non_finite_loss") | F.col("complete_stagnation")).drop("_n", "_better")
+    return out.withColumn("is_unstable", F.col("numerical_instability") | F.col("exploding_gradients") | F.col("non_finite_loss") | F.col("complete_stagnation"))
 
 
 def decayed_sums(df: DataFrame, key: str, at: str, value: str, decay: float, levels: int = 2) -> DataFrame:
@@ -79,11 +93,18 @@ def decayed_sums(df: DataFrame, key: str, at: str, value: str, decay: float, lev
     return joined.select(*df.columns, (F.col("_own") + F.pow(F.lit(decay), F.col("_place") + 1) * F.coalesce("_carry", F.lit(0.0))).alias("sum"))
 
 
-def gae(df: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
+def gae(df: DataFrame, gamma: float = 0.99, lam: float = 0.95, longest: int = LONGEST) -> DataFrame:
     """(seq_id, step, advantage, returns, normalised) from (seq_id, step, value, reward), backwards from each
-    sequence's last step; the normalisation takes one row of totals."""
+    sequence's last step; the normalisation takes one row of totals. Sequences above ``longest`` are numbered in segments."""
+    df = df.select("seq_id", "step", "value", "reward")
+    ahead = lambda w: F.coalesce(F.lag("value").over(w), F.lit(0.0)).alias("_next")
+    short, long = by_length(df, "seq_id", longest)
     back = Window.partitionBy("seq_id").orderBy(F.desc("step"))
-    rows = df.select("seq_id", "step", "value", "reward", (F.row_number().over(back) - 1).alias("_n"), F.coalesce(F.lag("value").over(back), F.lit(0.0)).alias("_next"))
+    rows = short.select(*df.columns, (F.row_number().over(back) - 1).cast("long").alias("_n"), ahead(back))
+    if long is not None:
+        cut = segments(long, "seq_id", [F.desc("step")], halo=1)
+        cut = cut.withColumn("_next", ahead(Window.partitionBy("seq_id", "_seg").orderBy("_n"))).filter("_own")
+        rows = rows.unionByName(cut.withColumn("_n", F.col("_n") - 1).select(*rows.columns))
     rows = rows.withColumn("_delta", F.col("reward") + gamma * F.col("_next") - F.col("value"))
     rows = decayed_sums(rows, "seq_id", "_n", "_delta", gamma * lam)
     rows = rows.select("seq_id", F.col("step").cast("int").alias("step"), F.col("sum").alias("advantage"), (F.col("sum") + F.col("value")).alias("returns"))
@@ -91,12 +112,20 @@ def gae(df: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     return rows.crossJoin(F.broadcast(totals)).withColumn("normalised", (F.col("advantage") - F.col("_m")) / (F.col("_s") + 1e-8)).drop("_m", "_s")  # one row
 
 
-def best_so_far(df: DataFrame, run: str, step: str, loss: str) -> DataFrame:
-    """Adds is_best (strictly lower than all before; NaN never is) and best_loss."""
-    before = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    real = F.when(~F.isnan(loss), F.col(loss))
-    least = F.min(real).over(before)
-    return df.withColumns({"is_best": real.isNotNull() & (least.isNull() | (real < least)), "best_loss": F.least(least, real)})
+def best_so_far(df: DataFrame, run: str, step: str, loss: str, longest: int = LONGEST) -> DataFrame:
+    """Adds is_best (strictly lower than all before; NaN never is) and best_loss; runs above ``longest`` go in segments."""
+
+    def marked(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        least = F.min("_best").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        real = F.when(~F.isnan(loss), F.col(loss))
+        return rows.withColumn("_least", least).withColumns({"is_best": real.isNotNull() & (F.col("_least").isNull() | (real < F.col("_least"))), "best_loss": F.least("_least", real)}).drop("_least")
+
+    short, long = by_length(df, run, longest)
+    out = marked(short.withColumn("_best", F.when(~F.isnan(loss), F.col(loss))), [run], step).drop("_best")
+    if long is None:
+        return out
+    cut = segments(long, run, [step], least=loss).withColumn("_best", F.col("_best.value"))
+    return out.unionByName(marked(cut, [run, "_seg"], "_n").filter("_own").select(*out.columns))
 
 
 def latest(df: DataFrame, run: str, step: str) -> DataFrame:

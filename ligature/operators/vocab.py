@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import SPECIALS, tokens
-from .order import cap
+from .order import cap, with_position
 
 
 def number_tokens(found: DataFrame, specials: list[str] = SPECIALS) -> DataFrame:
-    """(token_id, token, special): specials in their order, then ``found`` (token) sorted. One row a token."""
+    """(token_id, token, special): specials in their order, then ``found`` (token) sorted, numbered by ranges. One row a token."""
     spark = found.sparkSession
     head = spark.createDataFrame([(i, t, True) for i, t in enumerate(specials)], "token_id int, token string, special boolean")
-    w = Window.partitionBy(F.lit(1)).orderBy("token")  # over the vocabulary, whose size is bounded
-    body = found.select("token", F.lit(False).alias("special")).withColumn("token_id", (F.row_number().over(w) - 1 + len(specials)).cast("int"))
+    numbered = with_position(found.select("token"), ["token"], "_at")
+    body = numbered.select((F.col("_at") + len(specials)).cast("int").alias("token_id"), "token", F.lit(False).alias("special"))
     return head.unionByName(body)
 
 
