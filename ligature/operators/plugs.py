@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
@@ -39,6 +39,40 @@ def variants_plug(variants: Callable[[pd.Series], pd.Series]) -> Callable[[Colum
     return F.pandas_udf(variants, "array<string>")
 
 
+def variants_table(df: DataFrame, make: Callable[[str, int], str | None], n: int, column: str = "smiles", first: Callable[[str], str] | None = None) -> DataFrame:
+    """(text, variant_no, variant): up to ``n`` different variants of each different string, by a table function over
+    the rows of that string, so repeated strings are worked on once.
+
+    ``make(text, attempt)`` is asked 3 n times at most, with attempts 0, 1, ...; null is a failed attempt, and a repeat doesn't count
+    as a variant. ``first`` puts a canonical form before them. Null and blank strings, and those for which a plug raises ValueError, have none.
+    """
+
+    class Variants:
+        def __init__(self) -> None:
+            self.done = False
+
+        def eval(self, row: Row) -> Iterator[tuple[str, int, str]]:
+            text = row[0]
+            if self.done or text is None or not text.strip():
+                return
+            self.done = True
+            try:
+                found = {first(text): None} if first else {}  # in order
+                for attempt in range(3 * n):
+                    if len(found) >= n:
+                        break
+                    variant = make(text, attempt)
+                    if variant is not None:
+                        found[variant] = None
+            except ValueError:
+                return
+            for k, variant in enumerate(found):
+                yield text, k, variant
+
+    table = F.udtf(Variants, returnType="text string, variant_no int, variant string")
+    return table(df.select(column).asTable().partitionBy(column))
+
+
 def property_plug(properties: Callable[[pd.Series], pd.DataFrame], schema: str) -> Callable[[Column], Column]:
     return F.pandas_udf(properties, schema)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions.scores import reward, sa_norm
-from ..operators import candidates, clean, quality, runs
+from ..operators import candidates, clean, plugs, quality, runs
 from .molecules import _D_CLASS, _VOCAB, d_tokens, quoted
 from .registry import query, table
 from .views import view, with_views
@@ -45,6 +45,23 @@ def d9_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.diversity(mol, "mol_id", "g"))
 
 
+@query(with_views("v_mol", f"with f as (select list_sort(list_distinct({_GRAMS})) as f from v_mol), c as (select f, count(*)::double as n, row_number() over (order by f) as i from f where len(f) > 0 group by f), p as (select sum(a.n * b.n * len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f)))) as s from c a join c b on a.i < b.i), t as (select sum(n) as n, sum(n * (n - 1) / 2) as w from c) select (n * (n - 1) / 2)::bigint as pairs, round(1 - (w + coalesce(s, 0)) / (n * (n - 1) / 2), 6) as diversity from t, p"))
+def d9_diversity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mol = view(spark, sf_dir, "v_mol").select(quality.ngrams(T.tokens(F.col("smiles"))).alias("g"))
+    return rounded(quality.diversity_all(mol, "g"))
+
+
+@query(with_views("v_mol", f"with f as (select {_GRAMS} as f from v_mol), m as (select k, list_min(list_transform(f, lambda g: md5(k || ':' || g))) as m from f, range(64) as r(k) where len(f) > 0), w as (select k, m, count(*)::double as w from m group by k, m), e as (select k, sum(w) as n, sum(w * (w - 1) / 2) as equal from w group by k) select (any_value(n) * (any_value(n) - 1) / 2)::bigint as pairs, round(1 - avg(equal / (n * (n - 1) / 2)), 6) as diversity, round(stddev_samp(equal / (n * (n - 1) / 2)) / 8, 6) as error from e"))
+def d9_diversity_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mol = view(spark, sf_dir, "v_mol").select(quality.ngrams(T.tokens(F.col("smiles"))).alias("g"))
+    return rounded(quality.diversity_estimate(mol, "g", 64, lambda k, g: F.md5(F.concat(k.cast("string"), F.lit(":"), g))))
+
+
+@query("with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) as u from v), p as (select list_dot_product(a.u, b.u) as c from u a join u b on a.vec_id <> b.vec_id) select count(*)::bigint as pairs, round(avg(c), 6) as mean, round(stddev_samp(c), 6) as std from p")
+def d10_cosine_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.cosine_moments(table(spark, sf_dir, "embeddings"), "embedding", 64))
+
+
 @query("with v as (select vec_id, vec_id // 64 as batch, list_transform(embedding, lambda x: x::double) as v from embeddings), p as (select a.batch, list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-12) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-12)) as c from v a join v b on a.batch = b.batch and a.vec_id <> b.vec_id) select batch, count(*)::bigint as pairs, round(avg(c), 6) as mean, round(stddev_samp(c), 6) as std, round(max(c), 6) as max, round(min(c), 6) as min from p group by batch")
 def d10_cosine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 64))
@@ -61,6 +78,12 @@ def e6_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.length_stats(table(spark, sf_dir, "documents"), "doc_id", F.length("text"), 500))
 
 
+@query("select count(l_extendedprice)::bigint as n, round(quantile_cont(l_extendedprice, 0.05)::double, 6) as p05, round(quantile_cont(l_extendedprice, 0.5)::double, 6) as median, round(quantile_cont(l_extendedprice, 0.95)::double, 6) as p95 from lineitem")
+def e6_exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.05, 0.5, 0.95])
+    return rounded(out.select("n", *[F.col("values")[k].alias(c) for k, c in enumerate(("p05", "median", "p95"))]))
+
+
 @query(with_views("v_mol", f"with t as (select {_T} as t from v_mol order by mol_id limit 1000) select count(*)::bigint as n, count(distinct array_to_string(t, ' '))::bigint as unique, round(avg(len(t)), 6) as mean_length from t"))
 def e7_diversity_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     mol = view(spark, sf_dir, "v_mol").select("mol_id", T.tokens(F.col("smiles")).alias("t"))
@@ -103,12 +126,20 @@ def e13_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.row_count(table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")), "line")
 
 
-@query(with_views("v_mol", "with v as (select source, not contains(smiles, '>') as valid, length(string_split(smiles, '.')[1]) as key from v_mol), o as (select *, 3 as original_key from v) select source, bool_and(valid) as all_valid, bool_and(valid and key = original_key) as all_equivalent, count(distinct key) filter (valid)::bigint as num_unique from o group by source"))
+@query(with_views("v_mol", "with v as (select mol_id, source, not contains(smiles, '>') as valid, length(string_split(smiles, '.')[1]) as key from v_mol), o as (select *, arg_min(key, mol_id) over (partition by source) as original_key from v) select source, bool_and(valid) as all_valid, bool_and(valid and key = original_key) as all_equivalent, count(distinct key) filter (valid)::bigint as num_unique from o group by source"))
 def e14_augmentation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_mol").withColumns({"k": F.length(F.split("smiles", r"\.")[0]), "o": F.lit(3)})
+    rows = view(spark, sf_dir, "v_mol").withColumn("k", F.length(F.split("smiles", r"\.")[0]))
+    originals = rows.groupBy("source").agg(F.min_by("k", "mol_id").alias("o"))  # the key of each brand's first molecule
+    rows = rows.join(originals, "source")
     return quality.augmentation_audit(rows, "source", "o", ~F.col("smiles").contains(">"), "k")
 
 
+@query(with_views("v_mol", "with d as (select distinct smiles as text from v_mol), e as (select text, k, substr(text, k % length(text) + 1) || substr(text, 1, k % length(text)) as variant from d, range(6) as r(k)), f as (select text, variant, min(k) as k from e group by text, variant), n as (select text, variant, row_number() over (partition by text order by k) - 1 as variant_no from f) select text, variant_no::int as variant_no, variant from n where variant_no < 2"))
+def k2_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = lambda text, k: text[k % len(text) :] + text[: k % len(text)]
+    return plugs.variants_table(view(spark, sf_dir, "v_mol"), turned, 2)
+
+
 @query(with_views("v_mol", f"select count(*)::bigint as n, round(avg((array_to_string(list_filter({_T}, lambda t: list_contains([{quoted(_VOCAB)}], t)), '') = smiles)::int), 6) as rate from v_mol"))
 def e20_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = T.decode(T.encode(T.tokens(F.col("smiles")), _VOCAB, "unk"), _VOCAB)
