@@ -37,8 +37,8 @@ class Monitor(StatefulProcessor):
     One timer a run: at the earliest row that waits, else at the run's end, ``idle`` after its last row, where its state goes.
     """
 
-    def __init__(self, patience: int, min_loss: float, max_grad: float, warm: int, idle: int):
-        self.limits, self.warm, self.idle = (patience, min_loss, max_grad), warm, idle
+    def __init__(self, patience: int, min_loss: float, max_grad: float, warm: int, idle: int, span: int = SPAN):
+        self.limits, self.warm, self.idle, self.span = (patience, min_loss, max_grad), warm, idle, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -47,7 +47,7 @@ class Monitor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            frame = frame.assign(span=frame["at"] // SPAN)
+            frame = frame.assign(span=frame["at"] // self.span)
             for span, part in frame.groupby("span"):
                 place = (int(span),)
                 kept = self.waiting.getValue(place) if self.waiting.containsKey(place) else ([], [], [], [])
@@ -65,7 +65,7 @@ class Monitor(StatefulProcessor):
         best, gained, seen, until, losses, grads = self.judged.get() if self.judged.exists() else (None, 0, 0, -1, [], [])
         losses, grads, first = list(losses), list(grads), None
         for span in sorted(k[0] for k in self.waiting.keys()):
-            if span * SPAN > now:
+            if span * self.span > now:
                 first = min(self.waiting.getValue((span,))[0])
                 break
             rows = sorted(zip(*self.waiting.getValue((span,))), key=lambda r: r[:2])
@@ -97,7 +97,7 @@ class Monitor(StatefulProcessor):
         pass
 
 
-def ordered_alarms(source: DataFrame, time: str, delay: str = "10 minutes", idle: str = "1 day", patience: int = 200, min_loss: float = 1e-6, max_grad: float = 10.0, warm: int = 50) -> DataFrame:
+def ordered_alarms(source: DataFrame, time: str, delay: str = "10 minutes", idle: str = "1 day", patience: int = 200, min_loss: float = 1e-6, max_grad: float = 10.0, warm: int = 50, span: int = SPAN) -> DataFrame:
     """(run_id, step, steps_since_best, alarm) of a stream of (run_id, step, loss, grad_norm) with an event time.
 
     Rows come in any order within ``delay`` and are judged by time, then step, as runs.stability judges a table; later ones
@@ -109,4 +109,4 @@ def ordered_alarms(source: DataFrame, time: str, delay: str = "10 minutes", idle
     milliseconds = source.sparkSession.range(1).select(((F.timestamp_seconds(F.lit(0)) + gap).cast("double") * 1000).cast("long")).first()[0]
     rows = source.filter(F.col("run_id").isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
     rows = rows.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("long").alias("step"), "loss", "grad_norm", F.col("loss").isNull().alias("no_loss"), F.col("grad_norm").isNull().alias("no_grad_norm"), F.unix_millis(F.col(time).cast("timestamp")).alias("at"), time)
-    return rows.groupBy("run_id").transformWithStateInPandas(Monitor(patience, min_loss, max_grad, warm, int(milliseconds)), OUTPUT, "append", "eventTime")
+    return rows.groupBy("run_id").transformWithStateInPandas(Monitor(patience, min_loss, max_grad, warm, int(milliseconds), span), OUTPUT, "append", "eventTime")
