@@ -3,9 +3,14 @@ the formats know, and read back by the library."""
 
 from __future__ import annotations
 
+import io
+import re
+import tarfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +20,7 @@ from ..sources import readers, writers
 from ..streaming import jobs, ordered, sinks
 from .measures import rounded
 from .molecules import _VOCAB, d_tokens, quoted
-from .registry import ORACLES, query
+from .registry import ORACLES, query, table
 from .tables import D_NUMBERED
 from .views import view, with_views
 
@@ -121,6 +126,51 @@ def c13_existing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.existing_pairs(pairs, listing)
 
 
+def _archives(spark: SparkSession, sf_dir: str) -> str:
+    """Tar archives, every other one gzipped, with a member for each page."""
+    path = scratch(spark, "archives")
+
+    def pack(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
+        store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        store.create_dir(place)
+        with store.open_output_stream(f"{place}/{key[0]}.tar", compression="gzip" if key[0] % 2 else None) as raw, tarfile.open(fileobj=raw, mode="w|") as tar:
+            for name, html in zip(pages["member"], pages["html"]):
+                info = tarfile.TarInfo(name)
+                info.size = len(content := (html or "").encode())
+                tar.addfile(info, io.BytesIO(content))
+        return pd.DataFrame({"n": [len(pages)]})
+
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id % 6 as archive", f"{_MEMBER} as member", "html")
+    rows.groupBy("archive").applyInPandas(pack, "n long").agg(F.sum("n")).collect()  # one row
+    return path
+
+
+_MEMBER = "case when page_id % 4 = 3 then 'other/' else 'crossdocked/' end || 'P' || cast(page_id % 10 as string) || '/' || cast(page_id as string) || case when page_id % 2 = 0 then '_rec.pdb' when page_id % 5 = 0 then '.txt' else '_lig.pdb' end"
+_D_MEMBER = f"m as (select *, {_MEMBER} as member from pages)"
+
+
+@query(f"with {_D_MEMBER} select member, strlen(coalesce(html, ''))::bigint as size, 'P' || page_id % 10 as pocket, string_split(member, '/')[3] as file, case when page_id % 2 = 0 then 'rec' else 'lig' end as kind from m where page_id % 4 <> 3 and (page_id % 2 = 0 or page_id % 5 <> 0)")
+def a10_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.list_tar_members(spark, _archives(spark, sf_dir), stream_bytes=0).drop("archive")
+
+
+@query(f"with {_D_MEMBER} select member, md5(coalesce(html, '')) as digest from m where page_id % 4 <> 3 and page_id % 2 = 1 and page_id % 5 <> 0")
+def a11_read_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _archives(spark, sf_dir)
+    wanted = readers.list_tar_members(spark, path).filter("kind = 'lig'")
+    return readers.read_tar_members(spark, path, wanted, stream_bytes=0, split_bytes=1 << 20).select("member", F.md5("content").alias("digest"))
+
+
+@query(f"with {_D_MEMBER} select member, unnest(range(len(string_split(coalesce(html, ''), '<p>')))) as part, unnest(list_transform(string_split(coalesce(html, ''), '<p>'), lambda x: strlen(x))) as size from m where page_id % 4 = 0")
+def k5_archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parts(member: str, content: bytes) -> Iterator[tuple]:
+        for k, x in enumerate(content.split(b"<p>")):
+            yield member, k, len(x)
+
+    wanted = table(spark, sf_dir, "pages").filter("page_id % 4 = 0").selectExpr(f"{_MEMBER} as member")
+    return readers.parse_tar_members(spark, _archives(spark, sf_dir), wanted, parts, "member string, part long, size long")
+
+
 @query(with_views("v_mol", f"with chosen as (select distinct unnest({d_tokens('smiles')}) as token from v_mol) select * from {D_NUMBERED}"))
 def a14_vocab_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "vocab")
