@@ -311,10 +311,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, mark: int = MARK, shard_by
 
     A null text is empty, texts shorter than ``span`` bytes keep everything, and matches never cross documents.
     Strings are judged on the input, so all occurrences go, the first too. Rows that repeat a doc_id are documents
-    of their own with the same text; a row with a null doc_id keeps everything. Further columns are left out.
+    of their own with the same text; a row with a null doc_id is judged like others, under a 64-bit hash of its text
+    in place of an id. Further columns are left out.
     """
     ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").alias("own_id"))
     # contexts are computed twice rather than stored: they are many, and most stand alone
     hot = materialise(all_contexts(docs, span, mark).groupBy("h").agg(F.sum("m").alias("s")).filter("s > 1").select("h"), "hot-anchors")
     places = materialise(all_contexts(docs, span, mark).join(hot.hint("merge"), "h"), "hot-contexts")
@@ -342,7 +343,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, mark: int = MARK, shard_by
     some = F.transform("runs", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["b"] + F.col("lo")).alias("b")))
     marked = marked.select("doc_id", F.when(F.col("all"), whole).otherwise(some).alias("found"))
     marked = materialise(marked.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found")), "found")
-    return without(docs.join(marked.hint("merge"), "doc_id", "left"), span)
+    return without(docs.join(marked.hint("merge"), "doc_id", "left").select(F.col("own_id").alias("doc_id"), "text", "found"), span)
 
 
 def digest(docs: DataFrame) -> DataFrame:
