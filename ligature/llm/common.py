@@ -157,6 +157,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return hashes
 
 
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of spans that are equal exactly where the spans' bytes are: hashes bring them together, bytes decide."""
+    hashes = span_hashes(data, starts, ends) if hashes is None else hashes
+    order = np.argsort(hashes, kind="stable")
+    size = np.asarray(ends - starts, np.int64)[order]
+    like = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    equal = size[like] == size[like + 1]
+    for lo, hi in slices(np.append(0, np.cumsum(np.where(equal, size[like], 0)))):
+        at = like[lo:hi][equal[lo:hi]]
+        n = size[at]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(starts[order[at]], n) + inside] != data[np.repeat(starts[order[at + 1]], n) + inside]
+        wrong = np.add.reduceat(np.append(differ, False), np.minimum(np.cumsum(n) - n, len(differ))) if len(at) else np.zeros(0)
+        equal[lo:hi][equal[lo:hi]] = (wrong == 0) | (n == 0)
+    new = np.ones(len(order), bool)
+    new[like[equal] + 1] = False
+    numbers = np.empty(len(order), np.int64)
+    numbers[order] = np.cumsum(new)
+    if not equal.all():  # different spans with one hash: each of that hash by its bytes
+        of: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(hashes, hashes[order[like[~equal]]])).tolist():
+            numbers[i] = -1 - of.setdefault(data[starts[i] : ends[i]].tobytes(), len(of))
+    return numbers
+
+
 def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """Hash of every span of ``width`` bytes, to choose places by; see prefix_sums()."""
     n = len(data) - width + 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, ship, slices, span_hashes, sums_by_row, text_block, word_spans
+from .common import materialise, mix, ship, slices, span_hashes, span_numbers, sums_by_row, text_block, word_spans
 
 BITS = 17
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -78,7 +78,7 @@ def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.n
     with_word = np.searchsorted(starts, edge_starts) < np.searchsorted(starts, edge_ends)
     ls, le = edge_starts[with_word], edge_ends[with_word]
     line_row = np.searchsorted(offs, ls, "right") - 1
-    lines = span_hashes(raw, ls, le)
+    lines = span_numbers(raw, ls, le)
     order = np.lexsort((lines, line_row))
     again = np.zeros(len(order), bool)
     again[1:] = (lines[order][1:] == lines[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
@@ -88,7 +88,10 @@ def base_counts(raw: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.n
     if len(starts) > 2:
         row = np.repeat(np.arange(rows), n)
         at = np.flatnonzero(row[:-2] == row[2:])
-        windows = mix(mix(h[at] * np.uint64(3) + h[at + 1]) * np.uint64(5) + h[at + 2]) ^ mix(row[at].astype(np.uint64))
+        word = np.unique(span_numbers(raw, starts, ends, h), return_inverse=True)[1]
+        windows = row[at]
+        for k in range(3):  # exact numbers: of the row and the words so far
+            windows = np.unique(windows * len(starts) + word[at + k], return_inverse=True)[1]
         order = np.argsort(windows, kind="stable")
         same = windows[order][1:] == windows[order][:-1]
         twice = np.zeros(len(at), bool)

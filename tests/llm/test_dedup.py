@@ -267,6 +267,28 @@ def test_suffix_order_and_common_prefixes():
         assert common[s] == want
 
 
+def test_suffix_dedup_of_partners_without_an_id(spark):
+    rnd = np.random.RandomState(8)
+    shared = bytes(rnd.randint(97, 123, 260).astype(np.uint8)).decode()
+    data = [(None, f"start {shared} end", None, None, 0), (1, f"other {shared} tail", None, None, 0), (None, f"third {shared}", None, None, 0), (None, None, None, None, 0), (2, "alone " * 3, None, None, 0)]
+    texts = {k: (r[1] or "").encode() for k, r in enumerate(data)}
+    want = sorted((str(data[k][0]), left) for k, left in brute_repeats(texts).items())
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), bytes(r["kept"])) for r in out) == want
+    assert sum(r["n_removed"] for r in out) >= 3 * 260
+
+
+def test_spans_are_numbered_by_their_bytes():
+    words = [b"flmijlfpaqbmhngz", b"imshxixoBJXq3JdZ", b"", b"a", b"flmijlfpaqbmhngz", b"", b"ab", b"imshxixoBJXq3JdZ", b"b" * 700, b"b" * 700, b"b" * 699 + b"c"]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = np.append(0, ends[:-1])
+    for hashes in (None, np.zeros(len(words), np.uint64), np.array([len(w) for w in words], np.uint64)):
+        numbers = common.span_numbers(data, starts, ends, hashes).tolist()
+        assert all((numbers[i] == numbers[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+    h = common.span_hashes(data, starts, ends)
+    assert h[0] == h[1]  # the two that the hash alone takes for one
+
+
 def test_empty_tables(spark):
     for run in (line_dedup.digest, exact_dedup.exact_groups, jaccard_join.near_duplicates, suffix_dedup.digest):
         assert run(empty(spark)).count() == 0

@@ -532,3 +532,11 @@ def test_write_mix(spark, tmp_path):
     mixing.write_mix(df, pieces, str(tmp_path / "mix"))
     back = spark.read.parquet(str(tmp_path / "mix"))
     assert back.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == pieces.agg(F.sum("words")).first()[0]
+
+
+def test_lines_and_words_that_only_share_a_hash_are_different(spark):
+    a, b = "flmijlfpaqbmhngz", "imshxixoBJXq3JdZ"
+    texts = [f"{a}\n{b}", f"{a}\n{b}\n{a}", f"x {a} y x {b} y", f"x {a} y x {a} y"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.apply_rules(df, labels(spark)).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (0, 0), 3: (0, 6)}
