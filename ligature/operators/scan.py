@@ -56,9 +56,10 @@ def positions(df: DataFrame, order: list[str | Column], name: str = "idx") -> Da
 
 def by_length(df: DataFrame, run: str, longest: int = LONGEST) -> tuple[DataFrame, DataFrame | None]:
     """Rows of runs of at most ``longest`` rows, and those of longer ones if there are any."""
-    long = stored(df.groupBy(F.col(run).alias("_long")).agg(F.count("*").alias("_n")).filter(F.col("_n") > longest).select("_long"))
+    long = df.groupBy(F.col(run).alias("_long")).agg(F.count("*").alias("_n")).filter(F.col("_n") > longest).select("_long")
     if long.isEmpty():
         return df, None
+    long = stored(long)
     same = F.col(run).eqNullSafe(F.col("_long"))
     long = F.broadcast(long)  # one for each ``longest`` rows at most
     return df.join(long, same, "left_anti"), df.join(long, same, "left_semi")

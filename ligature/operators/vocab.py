@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import SPECIALS, tokens
 from .order import cap, with_position
 
 
-def number_tokens(found: DataFrame, specials: list[str] = SPECIALS) -> DataFrame:
-    """(token_id, token, special): specials in their order, then ``found`` (token) sorted, numbered by ranges. One row a token."""
+def number_tokens(found: DataFrame, specials: list[str] = SPECIALS, bounded: bool = False) -> DataFrame:
+    """(token_id, token, special): specials in their order, then ``found`` (token) sorted, one row a token. Numbered by
+    ranges, or in one window where the caller's own limit bounds the list."""
     spark = found.sparkSession
     head = spark.createDataFrame([(i, t, True) for i, t in enumerate(specials)], "token_id int, token string, special boolean")
-    numbered = with_position(found.select("token"), ["token"], "_at")
+    if bounded:
+        numbered = found.select("token", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("token")) - 1).alias("_at"))
+    else:
+        numbered = with_position(found.select("token"), ["token"], "_at")
     body = numbered.select((F.col("_at") + len(specials)).cast("int").alias("token_id"), "token", F.lit(False).alias("special"))
     return head.unionByName(body)
 
@@ -35,7 +39,7 @@ def token_counts(df: DataFrame, column: str = "smiles", order: str = "mol_id") -
 def build_vocab(df: DataFrame, max_size: int = 500, max_rows: int = 0, column: str = "smiles", order: str = "mol_id") -> DataFrame:
     """The ``max_size`` most frequent tokens, numbered in alphabetical order after the specials."""
     top = token_counts(cap(df.filter(F.size(tokens(F.col(column))) > 0), [order], max_rows), column, order)
-    return number_tokens(top.orderBy(F.desc("n"), "first_row", "first_pos").limit(max_size).select("token"))
+    return number_tokens(top.orderBy(F.desc("n"), "first_row", "first_pos").limit(max_size).select("token"), bounded=True)
 
 
 def distinct_tokens(df: DataFrame, n: int, column: str = "smiles", order: str = "mol_id") -> DataFrame:
