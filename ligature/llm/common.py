@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Subfolders of the tables' folder that passing_tables() has opened.
+_INSIDE: ContextVar[tuple[str, ...]] = ContextVar("inside", default=())
+
+
 def tables_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    return "/".join([shared_folder(spark), "tables", spark.sparkContext.applicationId, *_INSIDE.get()])
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that Spark wrote, in whatever store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_tables(spark: SparkSession) -> None:
     """Delete all tables that materialise() wrote in this application; results that still read them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, tables_folder(spark))
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() writes inside are deleted at its end, and no others: write the result inside too."""
+    opened = _INSIDE.set((*_INSIDE.get(), uuid.uuid4().hex))
+    folder = tables_folder(spark)
+    try:
+        yield
+    finally:
+        _INSIDE.reset(opened)
+        remove(spark, folder)
 
 
 def ship(spark: SparkSession) -> None:
