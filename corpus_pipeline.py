@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligature.llm import bpe, exact_dedup, jaccard_join, mixing, quality_classifier
-from ligature.llm.common import shared_folder
+from ligature.llm.common import passing_tables, remove, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,8 +66,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES:
         path = f"{top}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with passing_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if done:
+            remove(spark, done)  # the next stage's docs are written, so nothing reads these any more
+        docs, done = spark.read.parquet(path), path
     return docs.select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
