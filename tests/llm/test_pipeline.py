@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import tiktoken
@@ -71,6 +72,40 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
 
 
+def test_components_by_brute_force(spark):
+    rng = random.Random(5)
+    for n, m in ((30, 20), (60, 70), (200, 190)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n + k, n + 1 + k) for k in range(0, 18, 2)] + [(n + 40, n + 30 + k) for k in range(20)]
+        least = {x: x for e in edges if e[0] != e[1] for x in e}
+        while any(least[a] != least[b] for a, b in edges if a != b):
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        out = common.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "brute").collect()
+        assert len(out) == len(least) and {r["node"]: r["component"] for r in out} == least
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "materialise", lambda df, label: made.append(label) or df)
+    out = common.components(spark.createDataFrame([(5, 1), (1, 6), (7, 2), (5, 1)], "a long, b long"), "plain").collect()
+    assert {r["node"]: r["component"] for r in out} == {1: 1, 5: 1, 6: 1, 2: 2, 7: 2} and made == ["plain-edges"]
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    good = learnable(60)
+    spark.createDataFrame(good, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], int(r[0] % 5 != 0), 0) for r in good], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    shared = tmp_path / "shared"
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_folder", lambda session: str(shared))
+    kept = common.materialise(spark.range(5), "another")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() and kept.count() == 5
+    assert {p.parent.name for p in shared.glob("pipeline-*/*/*.parquet")} == {"byte_bpe"}
+    assert {p.parent.name.split("-")[0] for p in shared.glob("tables/**/*.parquet")} == {"another"}
+
+
 def test_tables_are_cleared(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_folder", lambda session: str(tmp_path / "shared"))
     made = common.materialise(spark.range(5), "five")
