@@ -46,10 +46,20 @@ def with_position(df: DataFrame, order: list[str], name: str = "idx", parts: int
     return joined.withColumn(name, (F.col("_offset") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_offset")
 
 
+#: Parts that are few on any cluster, and the share of the cores below which more parts are few too.
+FEW_PARTS, FEW_SHARE = 64, 0.1
+
+
+def too_few(parts: int, cores: int) -> bool:
+    """Whether moving all rows is worth the cores that would stand idle: never for a scan that keeps a tenth of a large
+    cluster busy, whose parts ``spark.sql.files.maxPartitionBytes`` makes smaller without moving a row."""
+    return parts < cores and (parts <= FEW_PARTS or parts < FEW_SHARE * cores)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if it comes in fewer parts (one row group or one gzip file, say), for work row by row."""
+    """``df`` dealt to all cores if it comes in too few parts (one row group or one gzip file, say), for work row by row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if too_few(df.rdd.getNumPartitions(), cores) else df
 
 
 def cap(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -77,6 +77,27 @@ def property_plug(properties: Callable[[pd.Series], pd.DataFrame], schema: str)
     return F.pandas_udf(properties, schema)
 
 
+def with_properties(df: DataFrame, properties: Callable[[pd.Series], pd.DataFrame], schema: str, column: str = "smiles", known: DataFrame | None = None, name: str = "properties") -> DataFrame:
+    """Adds ``name``, a struct by ``schema``: from the table ``known`` (``column`` and the columns of the schema) where it has
+    the string, and else from the plug, which sees each other string once however often it stands in ``df``.
+
+    The struct is null for a null string, and for one of which the plug gives nulls only. A string that ``known`` repeats
+    takes its smallest row. Rows of ``df`` are neither lost nor repeated.
+    """
+    strings = df.select(F.col(column).alias("_key")).filter("_key is not null").distinct()
+    fields = df.sparkSession.createDataFrame([], schema).schema
+    have = None
+    if known is not None:
+        row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+        have = known.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(F.min(row).alias(name))
+        strings = strings.join(have, "_key", "left_anti")
+    plug = property_plug(properties, schema).asNondeterministic()  # else the filter below has it evaluated again for each field
+    made = strings.select("_key", plug(F.col("_key")).alias(name))
+    made = made.filter(F.coalesce(*[F.col(f"{name}.{f.name}").cast("string") for f in fields]).isNotNull())
+    found = made if have is None else have.unionByName(made)
+    return df.join(found, F.col(column) == F.col("_key"), "left").drop("_key")
+
+
 def validity(text: Column, plug: Callable[[pd.Series], pd.Series] | None = None) -> Column:
     """Whether a string is valid: no violations, or the toolkit's word."""
     return is_valid(text) if plug is None else F.pandas_udf(plug, "boolean")(text)

@@ -236,6 +236,13 @@ def b8_write_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("sequence", "length", "summary.total", "summary.num_valid", F.array_join("valid", " ").alias("valid"), F.array_join("invalid", " ").alias("invalid"))
 
 
+@query(with_views("v_mol", "select mol_id::bigint as n, smiles, not contains(smiles, '>') as is_valid from v_mol"))
+def b8_summary_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "summary-lists")
+    writers.write_summary_lists(view(spark, sf_dir, "v_mol").select(F.col("mol_id").alias("n"), "smiles", (~F.col("smiles").contains(">")).alias("is_valid")), path)
+    return spark.read.schema("n long, smiles string, is_valid boolean").json(path)
+
+
 _KEYED = f"keyed as (select mol_id, smiles, array_to_string({d_tokens('smiles')}, '') as key from v_mol), judged as (select *, case when key = '' then 'conversion_failed' when row_number() over (partition by key order by mol_id) > 1 then 'Duplicate SMILES' else 'ok' end as outcome from keyed)"
 
 
@@ -331,6 +338,23 @@ def k3_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(view(spark, sf_dir, "v_mol").select("mol_id", known(F.col("smiles")).alias("p")).select("mol_id", "p.*"))
 
 
+def _counted(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"mw": text.str.len() * 60.0, "logp": text.str.count("C") * 1.0, "hbd": text.str.count("N"), "hba": text.str.count("O") + text.str.count("N")})
+
+
+_KNOWN = "known as (select smiles, mw, logp, hbd, hba from (select smiles, p.*, row_number() over (partition by smiles order by mw, logp, hbd, hba) as r from v_mol join v_prop p using (mol_id) where not contains(smiles, 'C')) where r = 1)"
+_MADE = "made as (select distinct smiles, length(smiles) * 60.0::double as mw, (length(smiles) - length(replace(smiles, 'C', '')))::double as logp, length(smiles) - length(replace(smiles, 'N', '')) as hbd, 2 * length(smiles) - length(replace(smiles, 'O', '')) - length(replace(smiles, 'N', '')) as hba from v_mol where contains(smiles, 'C'))"
+
+
+@query(with_views("v_mol v_prop", f"with {_KNOWN}, {_MADE}, p as (select * from known union all select * from made) select mol_id, round(mw, 6) as mw, round(logp, 6) as logp, hbd::bigint as hbd, hba::bigint as hba, ((mw > 500)::int + (logp > 5)::int + (hbd > 5)::int + (hba > 10)::int)::int as lipinski_violations, (mw > 500)::int + (logp > 5)::int + (hbd > 5)::int + (hba > 10)::int <= 1 as is_drug_like from v_mol join p using (smiles)"))
+def k3_known_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property table for the strings without carbon, the plug for the others, and the rule of five on both."""
+    mol = view(spark, sf_dir, "v_mol").select("mol_id", "smiles")
+    known = mol.join(view(spark, sf_dir, "v_prop"), "mol_id").filter(~F.col("smiles").contains("C")).drop("mol_id")
+    both = plugs.with_properties(mol, _counted, "mw double, logp double, hbd long, hba long", known=known)
+    return rounded(clean.rule_of_five(both.select("mol_id", "properties.*")))
+
+
 @query(with_views("v_mol", "select mol_id, not contains(smiles, '(') or contains(smiles, ')') as is_valid from v_mol"))
 def k4_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = plugs.validity(F.col("smiles"), lambda s: ~s.str.contains("(", regex=False) | s.str.contains(")", regex=False))

@@ -45,6 +45,13 @@ def write_summary(df: DataFrame, path: str, sequence: str, most: int = 1000) ->
     both.select(F.to_json(out).alias("value")).coalesce(1).write.text(path)
 
 
+def write_summary_lists(df: DataFrame, path: str) -> None:
+    """The whole lists beside a summary: (n, smiles) as JSON lines in the folders is_valid=true and is_valid=false, in
+    ranges of n, so neither list passes through one task. An unknown verdict counts as invalid, as in the summary's number."""
+    whole = df.select("n", "smiles", F.coalesce("is_valid", F.lit(False)).alias("is_valid"))
+    whole.repartitionByRange("n").sortWithinPartitions("is_valid", "n").write.partitionBy("is_valid").json(path)
+
+
 def write_vocab(vocab: DataFrame, path: str, kind: str = "atom") -> None:
     """One JSON object: the tokens in the order of their ids, their number, the specials and the kind."""
     body = vocab.agg(F.array_sort(F.collect_list(F.struct("token_id", "token"))).alias("v"))  # a vocabulary is small

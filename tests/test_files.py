@@ -112,6 +112,17 @@ def test_vocabulary_metrics_and_samples(spark, tmp_path):
     writers.write_summary(df, str(tmp_path / "s"), "MKT")
     body = json.loads("".join(p.read_text() for p in (tmp_path / "s").glob("part*")))
     assert body["summary"] == {"total": 2, "num_valid": 1} and body["valid"] == ["CO"] and body["length"] == 3
+    many = spark.createDataFrame([(i, f"C{i}", None if i == 7 else i % 3 == 0) for i in range(3000)], "n int, smiles string, is_valid boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else ranges this small become one file
+    try:
+        writers.write_summary_lists(many, str(tmp_path / "w"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "w").glob("is_valid=*/part*"))
+    at = {f: [json.loads(x)["n"] for x in f.read_text().splitlines()] for f in files}
+    assert len(files) > 2 and all(x == sorted(x) for x in at.values())
+    lists = {v: sorted(n for f, x in at.items() if f.parent.name == f"is_valid={v}" for n in x) for v in ("true", "false")}
+    assert lists == {"true": list(range(0, 3000, 3)), "false": [i for i in range(3000) if i % 3]}
 
 
 def test_tables_and_ledger(spark, tmp_path):

@@ -228,3 +228,29 @@ def test_ledger_and_plugs(spark):
     many = plugs.variants_plug(lambda s: s.map(lambda x: [x + "C", x]))
     out = splits.augment(df.withColumn("v", many(F.col("smiles"))), "mol_id", "smiles", "v", 2)
     assert out.filter("mol_id = 1").orderBy("variant_no").select("smiles").collect() == [("CC",), ("CCC",)]
+
+
+def test_properties_by_table_and_plug(spark):
+    df = frame(spark, [(1, "CC", "x"), (2, "CC", "y"), (3, "N", None), (4, None, "z"), (5, "bad", "x"), (6, "O", "")], "mol_id int, smiles string, size string")
+    known = frame(spark, [("N", 9, "a"), ("N", 8, "b"), (None, 7, "c"), ("unused", 1, "d")], "smiles string, size int, note string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def properties(text):
+        import pandas as pd
+
+        asked.add(len(text))
+        return pd.DataFrame({"size": text.str.len().where(text != "bad"), "note": text.where(text != "bad")})
+
+    out = plugs.with_properties(df, properties, "size long, note string", known=known)
+    assert out.columns == ["mol_id", "smiles", "size", "properties"]
+    got = {r["mol_id"]: r["properties"] and tuple(r["properties"]) for r in out.collect()}
+    assert got == {1: (2, "CC"), 2: (2, "CC"), 3: (8, "b"), 4: None, 5: None, 6: (1, "O")}
+    assert asked.value == 3  # CC once, bad, O
+    alone = plugs.with_properties(df.limit(0), properties, "size long, note string")
+    assert alone.count() == 0 and alone.columns == out.columns
+
+
+def test_rows_move_only_from_few_parts():
+    assert order.too_few(1, 8) and order.too_few(7, 8) and not order.too_few(8, 8)
+    assert order.too_few(64, 10_000) and order.too_few(999, 10_000) and not order.too_few(9_000, 10_000)
+    assert not order.too_few(100, 500) and order.too_few(60, 500)
