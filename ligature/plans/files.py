@@ -8,9 +8,12 @@ import re
 import tarfile
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,22 +129,38 @@ def c13_existing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.existing_pairs(pairs, listing)
 
 
+#: Bytes of content after which the next archive begins.
+ARCHIVE_BYTES = 32 << 20
+
+
 def _archives(spark: SparkSession, sf_dir: str) -> str:
-    """Tar archives, every other one gzipped, with a member for each page."""
+    """Tar archives, every other one gzipped, with a member for each page. A task writes the pages it gets one by one, into
+    as many archives as they need, so it holds a batch and not an archive."""
     path = scratch(spark, "archives")
+    store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    store.create_dir(place)
 
-    def pack(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, now, part, held, written = TaskContext.get().partitionId(), None, 0, 0, 0
         store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-        store.create_dir(place)
-        with store.open_output_stream(f"{place}/{key[0]}.tar", compression="gzip" if key[0] % 2 else None) as raw, tarfile.open(fileobj=raw, mode="w|") as tar:
-            for name, html in zip(pages["member"], pages["html"]):
-                info = tarfile.TarInfo(name)
-                info.size = len(content := (html or "").encode())
-                tar.addfile(info, io.BytesIO(content))
-        return pd.DataFrame({"n": [len(pages)]})
-
-    rows = table(spark, sf_dir, "pages").selectExpr("page_id % 6 as archive", f"{_MEMBER} as member", "html")
-    rows.groupBy("archive").applyInPandas(pack, "n long").agg(F.sum("n")).collect()  # one row
+        with ExitStack() as opened:
+            for batch in batches:
+                for archive, name, html in zip(*(batch.column(c) for c in ("archive", "member", "html"))):
+                    if archive.as_py() != now or held >= ARCHIVE_BYTES:
+                        opened.close()
+                        now, part, held = archive.as_py(), part + 1, 0
+                        raw = opened.enter_context(store.open_output_stream(f"{place}/{now}-{task}-{part}.tar", compression="gzip" if now % 2 else None))
+                        tar = opened.enter_context(tarfile.open(fileobj=raw, mode="w|"))
+                    info = tarfile.TarInfo(name.as_py())
+                    info.size = len(content := (html.as_py() or "").encode())
+                    tar.addfile(info, io.BytesIO(content))
+                    tar.members = []  # it would keep all of them
+                    held, written = held + info.size, written + 1
+        yield pa.RecordBatch.from_pydict({"n": [written]})
+
+    rows = table(spark, sf_dir, "pages").selectExpr("page_id % 6 as archive", f"{_MEMBER} as member", "html", "page_id")
+    dealt = rows.repartition("page_id").sortWithinPartitions("archive", "page_id").select("archive", "member", "html")
+    dealt.mapInArrow(pack, "n long").agg(F.sum("n")).collect()  # one row
     return path
 
 

@@ -4,12 +4,14 @@ import bz2
 import gzip
 import io
 import lzma
+import os
 import random
 import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from ligature.plans import files
 from ligature.sources import archives, readers
 
 
@@ -104,3 +106,13 @@ def test_rows_of_members_and_broken_archives(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(f"p{i}", k, float(i)) for i in (3, 4) for k in range(i)]
     with pytest.raises(ValueError, match="ends within"):
         list(archives.contents(iter([{"archive": str(tmp_path / "cut"), "member": "m", "at": 0, "size": 99}]), lambda p: io.BytesIO(b"short")))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_pages_are_packed_in_archives_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(files, "ARCHIVE_BYTES", 10000)
+    path = files._archives(spark, "/root/testdata/sf0.001")
+    listed = [r["path"] for r in readers.list_files(spark, path).collect()]
+    held = archives.tar_index(spark, listed).groupBy("archive").agg(F.sum("size").alias("s"), F.max("size").alias("m"), F.count("*").alias("n")).collect()
+    assert len(listed) > 12 and all(r["s"] < 10000 + r["m"] for r in held)
+    assert sum(r["n"] for r in held) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
