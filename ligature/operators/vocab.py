@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.tokens import SPECIALS, tokens
 from .order import cap, with_position
@@ -31,9 +32,22 @@ def vocab_from_merges(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def token_counts(df: DataFrame, column: str = "smiles", order: str = "mol_id") -> DataFrame:
-    """(token, n, first_row, first_pos): the first place settles ties as a counter in reading order would."""
+    """(token, n, first_row, first_pos): the first place settles ties as a counter in reading order would.
+
+    Where ``order`` is a whole number, a place is one decimal number, so that tokens are counted in a hash table of the
+    vocabulary's size; the least struct would have Spark sort all tokens. Null rows come first.
+    """
+    kind = df.schema[order].dataType
     each = df.select(F.col(order).alias("row"), F.posexplode(tokens(F.col(column))).alias("pos", "token"))
-    return each.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).select("token", "n", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
+    if not isinstance(kind, IntegralType):
+        first = each.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first"))
+        return first.select("token", "n", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos"))
+    rows, most = F.lit(2**31).cast("decimal(10,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(19,0)")
+    place = (F.coalesce(F.col("row").cast("decimal(19,0)"), most) * rows + F.col("pos")).cast("decimal(38,0)")
+    counted = each.groupBy("token").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    counted = counted.withColumn("first_pos", F.pmod("first", rows).cast("int"))
+    row = ((F.col("first") - F.col("first_pos")) / rows).cast("decimal(19,0)")
+    return counted.select("token", "n", F.when(row > most, row.cast(kind)).alias("first_row"), "first_pos")
 
 
 def build_vocab(df: DataFrame, max_size: int = 500, max_rows: int = 0, column: str = "smiles", order: str = "mol_id") -> DataFrame:

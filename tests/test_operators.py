@@ -254,3 +254,14 @@ def test_rows_move_only_from_few_parts():
     assert order.too_few(1, 8) and order.too_few(7, 8) and not order.too_few(8, 8)
     assert order.too_few(64, 10_000) and order.too_few(999, 10_000) and not order.too_few(9_000, 10_000)
     assert not order.too_few(100, 500) and order.too_few(60, 500)
+
+
+@pytest.mark.parametrize("kind, top", [("long", 2**63 - 1), ("int", 2**31 - 1), ("string", "9")])
+def test_tokens_are_counted_without_a_sort(spark, kind, top):
+    keys = ["5", "5", "1", top, None, None, "0"] if kind == "string" else [5, 5, -top - 1, top, None, None, 0]
+    rows = list(zip(keys, ["CCO", "OC", "NC", "BrC", "SN", "CS", "FO"]))
+    counts = vocab.token_counts(spark.createDataFrame(rows, f"mol_id {kind}, smiles string"))
+    want = {"C": (6, None, 0), "O": (3, "0" if kind == "string" else 0, 1), "N": (2, None, 1), "S": (2, None, 0), "Br": (1, top, 0), "F": (1, "0" if kind == "string" else 0, 0)}
+    assert {r["token"]: tuple(r)[1:] for r in counts.collect()} == want
+    if kind != "string":
+        assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
