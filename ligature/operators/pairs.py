@@ -56,8 +56,12 @@ def parse_types_line(line: Column, layout: str = "reference") -> Column:
 
 
 def types_log(lines: DataFrame, layout: str = "reference") -> DataFrame:
-    """The log's rows: all columns, and affinity, receptor, ligand."""
-    return spread(lines).withColumn("_p", parse_types_line(F.col("line"), layout)).filter("_p is not null").select(*lines.columns, "_p.*")
+    """The log's rows: all columns, and affinity, receptor, ligand.
+
+    A generator drops the lines that say nothing: a filter would be pushed below the dealing and parse each line thrice more.
+    """
+    parsed = F.array_compact(F.array(parse_types_line(F.col("line"), layout)))
+    return spread(lines).select(*lines.columns, F.inline(parsed).alias("affinity", "receptor", "ligand"))
 
 
 def pair_by_pocket(files: DataFrame) -> DataFrame:

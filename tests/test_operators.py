@@ -265,3 +265,11 @@ def test_tokens_are_counted_without_a_sort(spark, kind, top):
     assert {r["token"]: tuple(r)[1:] for r in counts.collect()} == want
     if kind != "string":
         assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_log_line_is_parsed_once(spark):
+    given = ["# no", "1 2.5 P1/r_rec_0.gninatypes P1/l_lig_0.gninatypes", "1 0 -3 P1_rec P1_lig", "1 0 x P1_rec P1_lig", "", None]
+    log = pairs.types_log(spark.createDataFrame([(i, x) for i, x in enumerate(given)], "line_no int, line string"))
+    assert sorted(map(tuple, log.drop("line").collect())) == [(1, 2.5, "P1/r_rec_0.gninatypes", "P1/l_lig_0.gninatypes"), (2, -3.0, "P1_rec", "P1_lig")]
+    assert log.columns == ["line_no", "line", "affinity", "receptor", "ligand"]
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("\\s+") == 1
